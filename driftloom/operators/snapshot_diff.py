@@ -104,108 +104,125 @@ def _cell_column(i: int, sub: int) -> Column:
     return (F.lit(i * sub) + F.pmod(F.shiftrightunsigned(F.xxhash64("kh", F.lit(1000 + i).cast("bigint")), 1), F.lit(sub).cast("bigint"))).cast("int")
 
 
-def _peeler(cells: int):
+_CELL = ["oh", "delivery", "bucket", "cell", "cnt", "kx", "vx", "cx"]
+
+
+def _peeler(cells: int, tables_at_once: int = 256):
+    """Peels tables from rows sorted by table; a table that spans two batches waits for its rest."""
+
+    def peeled(cols: dict[str, np.ndarray], starts: np.ndarray):
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cols["cell"]))))
+        own, k, _, _, failed = peel(owner, cols["cell"].astype(np.int64), cols["cnt"], cols["kx"], cols["vx"], cols["cx"], len(starts), cells)
+        # what a failed table gave before it stuck is dropped: it is peeled again from a larger one
+        good = ~failed[own] if own.size else np.zeros(0, dtype=bool)
+        bad = np.flatnonzero(failed)
+        at = starts[np.concatenate([own[good], bad])]
+        n, m = int(good.sum()), len(bad)
+        return pa.record_batch(
+            {
+                "oh": pa.array(cols["oh"][at]), "delivery": pa.array(cols["delivery"][at]), "bucket": pa.array(cols["bucket"][at]),
+                "kh": pa.array(np.concatenate([k[good], np.zeros(m, np.int64)])), "failed": pa.array(np.arange(n + m) >= n),
+            }
+        )
+
     def run(batches):
+        rest: dict[str, np.ndarray] | None = None
         for b in batches:
-            lists = b.column("cells").combine_chunks() if isinstance(b.column("cells"), pa.ChunkedArray) else b.column("cells")
-            flat = lists.flatten()
-            sizes = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            get = lambda n: flat.field(n).to_numpy(zero_copy_only=False)
-            own, k, v, sign, failed = peel(owner, get("cell").astype(np.int64), get("cnt").astype(np.int64), get("kx"), get("vx"), get("cx"), len(sizes), cells)
-            key, delivery, bucket = b.column("owner"), b.column("delivery"), b.column("bucket")
-            bad = np.flatnonzero(failed)
-            # what a failed table gave before it stuck is dropped: it is peeled again from a larger one
-            good = ~failed[own] if own.size else np.zeros(0, dtype=bool)
-            own, k, v, sign = own[good], k[good], v[good], sign[good]
-            take = pa.array(np.concatenate([own, bad]), pa.int64())
-            n, m = len(own), len(bad)
-            yield pa.record_batch(
-                {
-                    "owner": key.take(take),
-                    "delivery": delivery.take(take),
-                    "bucket": bucket.take(take),
-                    "kh": pa.array(np.concatenate([k, np.zeros(m, np.int64)]), pa.int64()),
-                    "sign": pa.array(np.concatenate([sign, np.zeros(m, np.int64)]).astype(np.int32), pa.int32()),
-                    "failed": pa.array(np.arange(n + m) >= n),
-                }
-            )
+            cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in _CELL}
+            if rest is not None:
+                cols = {c: np.concatenate([rest[c], cols[c]]) for c in _CELL}
+            n = len(cols["cell"])
+            if not n:
+                continue
+            new = np.zeros(n, dtype=bool)
+            new[0] = True
+            for c in _CELL[:3]:
+                new[1:] |= cols[c][1:] != cols[c][:-1]
+            starts = np.flatnonzero(new)
+            for i in range(0, len(starts) - 1, tables_at_once):
+                j = min(i + tables_at_once, len(starts) - 1)
+                part = {c: cols[c][starts[i] : starts[j]] for c in _CELL}
+                yield peeled(part, starts[i:j] - starts[i])
+            rest = {c: cols[c][starts[-1] :] for c in _CELL}
+        if rest is not None and len(rest["cell"]):
+            yield peeled(rest, np.zeros(1, dtype=np.int64))
 
     return run
 
 
 def recovered_differences(pairs: DataFrame, steps: DataFrame, cells: int, rows_per_bucket: int, max_rounds: int) -> DataFrame:
-    """(owner, delivery, kh) of every pair in which consecutive snapshots differ.
+    """(oh, delivery, kh) of every pair in which consecutive snapshots differ.
 
-    `pairs`: distinct (owner, snapshot, kh, vh); `steps`: (owner, delivery, previous).
+    `pairs`: distinct (oh, snapshot, kh, vh), oh the owner's hash; `steps`: (oh, delivery, previous).
     """
-    sizes = pairs.groupBy("owner", "snapshot").count().groupBy("owner").agg(F.max("count").alias("n"))
-    buckets = sizes.select("owner", F.ceil(F.col("n") / rows_per_bucket).cast("bigint").alias("n_buckets"))
-    rows = pairs.join(buckets, "owner").withColumn("bucket", F.pmod(F.xxhash64("kh", F.lit(7)), F.col("n_buckets")).cast("int"))
+    sizes = pairs.groupBy("oh", "snapshot").count().groupBy("oh").agg(F.max("count").alias("n"))
+    buckets = sizes.select("oh", F.ceil(F.col("n") / rows_per_bucket).cast("bigint").alias("n_buckets"))
+    rows = pairs.join(buckets, "oh").withColumn("bucket", F.pmod(F.xxhash64("kh", F.lit(7)), F.col("n_buckets")).cast("int")).drop("n_buckets")
+    # a snapshot's table counts up in its own delivery and down in the one that follows it
+    signs = steps.select(
+        "oh", F.explode(F.array(F.struct(F.col("delivery").alias("snapshot"), "delivery", F.lit(1).alias("sign")), F.struct(F.col("previous").alias("snapshot"), "delivery", F.lit(-1).alias("sign")))).alias("s")
+    ).select("oh", "s.*")
     found: DataFrame | None = None
     todo: DataFrame | None = None
     for _ in range(max_rounds):
         sub = -(-cells // _HASHES)
-        base = rows
-        if todo is not None:
-            touched = todo.select("owner", "bucket").distinct()
-            base = rows.join(touched, ["owner", "bucket"], "left_semi")
-        check = F.xxhash64("kh", "vh")
+        base = rows if todo is None else rows.join(todo.select("oh", "bucket").distinct(), ["oh", "bucket"], "left_semi")
         single = (
-            base.select("owner", "snapshot", "bucket", "kh", "vh", check.alias("cx"), F.explode(F.array(*[_cell_column(i, sub) for i in range(_HASHES)])).alias("cell"))
-            .groupBy("owner", "snapshot", "bucket", "cell")
+            base.select("oh", "snapshot", "bucket", "kh", "vh", F.xxhash64("kh", "vh").alias("cx"), F.explode(F.array(*[_cell_column(i, sub) for i in range(_HASHES)])).alias("cell"))
+            .groupBy("oh", "snapshot", "bucket", "cell")
             .agg(F.count(F.lit(1)).alias("cnt"), F.bit_xor("kh").alias("kx"), F.bit_xor("vh").alias("vx"), F.bit_xor("cx").alias("cx"))
         )
-        # subtraction: a snapshot's table counts up in its own delivery and down in the one that follows it
-        up = single.join(steps.select("owner", F.col("delivery").alias("snapshot")), ["owner", "snapshot"]).select("owner", F.col("snapshot").alias("delivery"), "bucket", "cell", "cnt", "kx", "vx", "cx")
-        down = single.join(steps.select("owner", F.col("previous").alias("snapshot"), "delivery"), ["owner", "snapshot"]).select("owner", "delivery", "bucket", "cell", (-F.col("cnt")).alias("cnt"), "kx", "vx", "cx")
+        signed = single.join(signs, ["oh", "snapshot"]).select("oh", "delivery", "bucket", "cell", (F.col("cnt") * F.col("sign")).alias("cnt"), "kx", "vx", "cx")
+        if todo is not None:
+            signed = signed.join(todo, ["oh", "delivery", "bucket"], "left_semi")
         less = (
-            up.unionByName(down)
-            .groupBy("owner", "delivery", "bucket", "cell")
+            signed.repartition("oh", "delivery", "bucket")
+            .groupBy("oh", "delivery", "bucket", "cell")
             .agg(F.sum("cnt").alias("cnt"), F.bit_xor("kx").alias("kx"), F.bit_xor("vx").alias("vx"), F.bit_xor("cx").alias("cx"))
             .filter("cnt <> 0 OR kx <> 0 OR vx <> 0 OR cx <> 0")
+            .select(*_CELL)
+            .sortWithinPartitions("oh", "delivery", "bucket")
         )
-        if todo is not None:
-            less = less.join(todo, ["owner", "delivery", "bucket"], "left_semi")
-        tables = less.groupBy("owner", "delivery", "bucket").agg(F.collect_list(F.struct("cell", "cnt", "kx", "vx", "cx")).alias("cells"))
-        schema = tables.select("owner", "delivery", "bucket", F.lit(0).cast("bigint").alias("kh"), F.lit(0).alias("sign"), F.lit(False).alias("failed")).schema
-        got = cut_lineage(tables.mapInArrow(_peeler(sub * _HASHES), schema))
-        done = got.filter("NOT failed").select("owner", "delivery", "kh")
+        kind = dict(pairs.dtypes)["snapshot"]
+        got = cut_lineage(less.mapInArrow(_peeler(sub * _HASHES), f"oh bigint, delivery {kind}, bucket int, kh bigint, failed boolean"))
+        done = got.filter("NOT failed").select("oh", "delivery", "kh")
         found = done if found is None else found.unionByName(done)
-        todo = got.filter("failed").select("owner", "delivery", "bucket")
+        todo = got.filter("failed").select("oh", "delivery", "bucket")
         if todo.isEmpty():
             return found.distinct()
         cells *= 4
     # tables that never peel (hash collisions): every key of the bucket becomes a candidate and is compared as a record
-    rest = rows.join(todo, ["owner", "bucket"]).join(steps, ["owner", "delivery"]).filter("snapshot = delivery OR snapshot = previous")
-    return found.unionByName(rest.select("owner", "delivery", "kh")).distinct()
+    rest = rows.join(todo, ["oh", "bucket"]).join(steps, ["oh", "delivery"]).filter("snapshot = delivery OR snapshot = previous")
+    return found.unionByName(rest.select("oh", "delivery", "kh")).distinct()
 
 
 def snapshot_changes(
-    df: DataFrame, owner: str, snapshot: str, key: str, values: dict[str, Column], cells: int = 384, rows_per_bucket: int = 512, max_rounds: int = 6
+    df: DataFrame, owner: str, snapshot: str, key: str, values: dict[str, Column], cells: int = 192, rows_per_bucket: int = 512, max_rounds: int = 6
 ) -> DataFrame:
     """(owner, snapshot, key, change) with change one of added, removed, changed, for every delivery after an owner's first.
 
     `values` names the compared columns with their canonical form; `cells` is the size of a bucket's first table.
     """
     names = list(values)
-    base = df.select(F.col(owner).alias("owner"), F.col(snapshot).alias("snapshot"), F.col(key).alias("key"), *[F.when(values[n].isNotNull(), F.xxhash64(values[n])).alias(f"v{i}") for i, n in enumerate(names)])
     vs = [f"v{i}" for i in range(len(names))]
-    hashed = base.withColumn("kh", F.xxhash64("key"))
-    pairs = hashed.select("owner", "snapshot", "kh", F.xxhash64(*[F.coalesce(v, F.lit(0)) for v in vs]).alias("vh")).distinct()
+    hashed = df.select(
+        F.col(owner).alias("owner"), F.xxhash64(F.col(owner)).alias("oh"), F.col(snapshot).alias("snapshot"), F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("kh"),
+        *[F.when(values[n].isNotNull(), F.xxhash64(values[n])).alias(v) for v, n in zip(vs, names)],
+    )
+    pairs = hashed.select("oh", "snapshot", "kh", F.xxhash64(*[F.coalesce(v, F.lit(0)) for v in vs]).alias("vh")).distinct()
     pairs = cut_lineage(pairs)  # read once more for sizes and for enlarged buckets
-    order = Window.partitionBy("owner").orderBy("snapshot")
+    order = Window.partitionBy("oh").orderBy("snapshot")
     steps = (
-        pairs.select("owner", "snapshot").distinct()
-        .select("owner", F.col("snapshot").alias("delivery"), F.lag("snapshot").over(order).alias("previous"))
+        pairs.select("oh", "snapshot").distinct()
+        .select("oh", F.col("snapshot").alias("delivery"), F.lag("snapshot").over(order).alias("previous"))
         .filter("previous IS NOT NULL")
     )
-    differing = recovered_differences(pairs, steps, cells, rows_per_bucket, max_rounds).join(steps, ["owner", "delivery"])
+    differing = recovered_differences(pairs, steps, cells, rows_per_bucket, max_rounds).join(steps, ["oh", "delivery"])
     wanted = differing.select(
-        "owner", "delivery", "kh",
+        "oh", "delivery", "kh",
         F.explode(F.array(F.struct(F.col("delivery").alias("snapshot"), F.lit(True).alias("new")), F.struct(F.col("previous").alias("snapshot"), F.lit(False).alias("new")))).alias("s"),
-    ).select("owner", "delivery", "kh", "s.snapshot", "s.new")
-    records = hashed.join(wanted, ["owner", "snapshot", "kh"])
+    ).select("oh", "delivery", "kh", "s.snapshot", "s.new")
+    records = hashed.join(wanted, ["oh", "snapshot", "kh"])
     sides = records.groupBy("owner", "delivery", "key").agg(
         F.bool_or("new").alias("in_new"),
         F.bool_or(~F.col("new")).alias("in_old"),
