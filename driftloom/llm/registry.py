@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.llm import truncation
+from driftloom.llm import leaks, pairs, truncation
 
-MODULES = [truncation]
+MODULES = [leaks, pairs, truncation]
 
 
 def queries() -> dict:
