@@ -64,7 +64,10 @@ def _sentence_done(line: str) -> bool:
 
 
 def cut_kind(text: str | None) -> str | None:
-    """None for a complete (or null or blank) text, else what was cut: marker, json, fence, code, item, row or sentence."""
+    """None for a complete (or null or blank) text, else what was cut: marker, json, fence, code, item, row or sentence.
+
+    Endings that are complete in their own style, but lack terminal punctuation, are ``?item`` and ``?heading``.
+    """
     if text is None:
         return None
     t = strip(text)
@@ -98,7 +101,7 @@ def cut_kind(text: str | None) -> str | None:
     if last.startswith("|"):
         return None if last.endswith("|") and len(last) > 1 else "row"
     if re.match(r"^#{1,6}\s+\S", last) and "\n" in t:
-        return None
+        return "?heading"
     item = _ITEM.match(last)
     if item:
         body = item.group(1).strip()
@@ -107,7 +110,7 @@ def cut_kind(text: str | None) -> str | None:
         others = [m.group(1).strip() for m in map(_ITEM.match, lines[:-1]) if m]
         prose = [o for o in others if not _BARE.match(o)]
         if prose and not any(_sentence_done(o) for o in prose) and body.count("`") % 2 == 0:
-            return None  # a list whose entries carry no final mark
+            return "?item"  # a list whose entries carry no final mark
         return "item"
     if re.fullmatch(r"[-*+]|\d+[.)]?", last) and "\n" in t:
         return "item"
@@ -119,4 +122,6 @@ def cut_kind(text: str | None) -> str | None:
 
 
 def is_cut(text: str | None) -> bool:
-    return cut_kind(text) is not None
+    """Cut by its ending alone; the endings marked with a question mark are not."""
+    kind = cut_kind(text)
+    return kind is not None and kind[0] != "?"

@@ -4,7 +4,8 @@ Per source and column, the histogram of value lengths is tested for a spike at i
 bytes: a field limit piles values up at one length that few values exceed.  A value at a spike length without terminal
 punctuation is flagged.  Values cut in transfer end at any length; they and the flagged ones are then held against the
 structure of their ending (`endings.cut_kind`): an open sentence, list entry, table row, code span, fence or JSON text,
-or the mark an exporter left behind the cut.  A complete ending clears a value that merely has the limit's length.
+or the mark an exporter left behind the cut.  A complete ending clears a value that merely has the limit's length.  Endings
+that only style can excuse (a list without final marks, a heading as the last line) count as cut exactly at a limit.
 
 Defined results: null and blank values are never cut; repeated records give one row per copy; an empty table gives an
 empty result; extra columns are ignored; a very long text costs one pass over it.
@@ -54,7 +55,8 @@ def length_spikes(values: DataFrame, by: list[str], text: str, min_values: int =
 def truncated_values(values: DataFrame, source: str, column: str, record: str, text: str) -> DataFrame:
     """(column, source, record, n_chars, n_bytes, at_limit, cut) of every value that is not blank.
 
-    `at_limit` names the unit whose spike the value sits on, `cut` what its ending lacks (null for a complete one).
+    `at_limit` names the unit whose spike a value without terminal punctuation sits on, `cut` what its ending lacks
+    (null for a complete one; what style alone excuses counts at a limit only).
     """
     spikes = length_spikes(values, [column, source], text).select(column, source, "unit", "length")
     char_limits = spikes.filter("unit = 'chars'").select(column, source, F.col("length").alias("n_chars"), F.lit(True).alias("at_chars"))
@@ -66,7 +68,8 @@ def truncated_values(values: DataFrame, source: str, column: str, record: str, t
     at = F.when(F.col("at_chars"), "chars").when(F.col("at_bytes"), "bytes")
     return (
         rows.join(char_limits, [column, source, "n_chars"], "left").join(byte_limits, [column, source, "n_bytes"], "left")
-        .select(column, source, record, "n_chars", "n_bytes", F.when(~F.col("terminal"), at).alias("at_limit"), "cut")
+        .withColumn("at_limit", F.when(~F.col("terminal"), at))
+        .select(column, source, record, "n_chars", "n_bytes", "at_limit", F.when(~F.col("cut").startswith("?") | F.col("at_limit").isNotNull(), F.regexp_replace("cut", r"^\\?", "")).alias("cut"))
     )
 
 
