@@ -27,7 +27,7 @@ def strip(text: str) -> str:
     return _STRIP.sub("", text)
 
 
-def _json_open(text: str) -> bool:
+def json_open(text: str) -> bool:
     """Whether the brackets or a string of a JSON text are still open at its end."""
     depth, quoted, i, n = 0, False, 0, len(text)
     closed_at = -1
@@ -44,7 +44,7 @@ def _json_open(text: str) -> bool:
     return quoted or depth > 0
 
 
-def _sentence_done(line: str) -> bool:
+def sentence_done(line: str) -> bool:
     """Whether a line of prose ends with a complete sentence, bracket, quotation or code span."""
     t = line.rstrip()
     if t.count("`") % 2:
@@ -63,6 +63,11 @@ def _sentence_done(line: str) -> bool:
     return False
 
 
+def export_mark(text: str) -> bool:
+    """Whether the text ends with what exporters put behind a cut."""
+    return _MARK.search(text) is not None
+
+
 def cut_kind(text: str | None) -> str | None:
     """None for a complete (or null or blank) text, else what was cut: marker, json, fence, code, item, row or sentence.
 
@@ -81,7 +86,7 @@ def cut_kind(text: str | None) -> str | None:
             json.loads(t, strict=False)
             return None
         except ValueError:
-            if _json_open(t):
+            if json_open(t):
                 return "json"
             if t[-1] in "}]":
                 return None
@@ -105,16 +110,16 @@ def cut_kind(text: str | None) -> str | None:
     item = _ITEM.match(last)
     if item:
         body = item.group(1).strip()
-        if _sentence_done(body) or _BARE.match(body) and "`" in body:
+        if sentence_done(body) or _BARE.match(body) and "`" in body:
             return None
         others = [m.group(1).strip() for m in map(_ITEM.match, lines[:-1]) if m]
         prose = [o for o in others if not _BARE.match(o)]
-        if prose and not any(_sentence_done(o) for o in prose) and body.count("`") % 2 == 0:
+        if prose and not any(sentence_done(o) for o in prose) and body.count("`") % 2 == 0:
             return "?item"  # a list whose entries carry no final mark
         return "item"
     if re.fullmatch(r"[-*+]|\d+[.)]?", last) and "\n" in t:
         return "item"
-    if _sentence_done(last):
+    if sentence_done(last):
         return None
     if _BARE.match(t):
         return None
