@@ -22,7 +22,18 @@ def get_session(app: str = "driftloom", cores: str = "*", shuffle_partitions: in
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    share_package(spark)
+    return spark
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (have, root) if x)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
