@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.llm import leaks, pairs, truncation
+from driftloom.llm import leaks, pairs, spans, truncation
 
-MODULES = [leaks, pairs, truncation]
+MODULES = [leaks, pairs, spans, truncation]
 
 
 def queries() -> dict:
