@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.llm import leaks, pairs, spans, truncation
+from driftloom.llm import leaks, packing, pairs, spans, truncation
 
-MODULES = [leaks, pairs, spans, truncation]
+MODULES = [leaks, packing, pairs, spans, truncation]
 
 
 def queries() -> dict:
