@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftloom.session import cut_lineage
 from driftloom.sources.tables import table
 
 VOCABULARY = os.environ.get("DRIFTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -37,6 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LOSS_KINDS = ("answer", "changelog", "block")
 BLOCK_ITEMS = 4096
 _LOADED: dict[str, object] = {}
+_TABLES: dict[int, tuple] = {}
 
 
 def encoder(vocabulary: str):
@@ -50,18 +52,33 @@ def encoder(vocabulary: str):
     return _LOADED[vocabulary]
 
 
+def _token_table(enc) -> tuple[np.ndarray, ...]:
+    """Per token: characters it begins, whether it begins one, begins with white space, with a space and a letter, ends without white space."""
+    if id(enc) not in _TABLES:
+        parts = [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
+        _TABLES[id(enc)] = (
+            np.asarray([sum(x & 0xC0 != 0x80 for x in p) for p in parts], np.int64),
+            np.asarray([p[0] & 0xC0 != 0x80 for p in parts]),
+            np.asarray([p[0] in b" \n\t\r" for p in parts]),
+            np.asarray([len(p) > 1 and p[0] == 32 and p[1:2].isalpha() for p in parts]),
+            np.asarray([not p[-1:].isspace() for p in parts]),
+        )
+    return _TABLES[id(enc)]
+
+
 def pieces(text: str, tokens: list[int], capacity: int, enc) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of consecutive pieces of at most `capacity` tokens each, counted on the piece's own text.
 
     `tokens` encodes the text.  A piece ends before a token that begins with white space, or else where a character
     begins, at the latest place that the capacity allows.
     """
-    parts = enc.decode_tokens_bytes(tokens)
-    at = np.zeros(len(parts) + 1, np.int64)  # characters begun before each token
-    np.cumsum([sum(x & 0xC0 != 0x80 for x in p) if not p.isascii() else len(p) for p in parts], out=at[1:])
-    starts_char = np.fromiter((p[0] & 0xC0 != 0x80 for p in parts), bool, len(parts))
-    blank = np.fromiter((p[0] in b" \n\t\r" for p in parts), bool, len(parts))
-    out, i, n = [], 0, len(parts)
+    ids = np.asarray(tokens, np.int64)
+    n_chars, starts_char, blank, word, inside = (t[ids] for t in _token_table(enc))
+    at = np.zeros(len(ids) + 1, np.int64)  # characters begun before each token
+    np.cumsum(n_chars, out=at[1:])
+    clean = np.ones(len(ids) + 1, bool)
+    clean[1:-1] = word[1:] & inside[:-1]
+    out, i, n = [], 0, len(ids)
     while i < n:
         reach = capacity
         while True:
@@ -75,7 +92,8 @@ def pieces(text: str, tokens: list[int], capacity: int, enc) -> list[tuple[int,
                 else:  # one character of more tokens than the capacity
                     j = i + 1 + int(np.argmax(starts_char[i + 1 :])) if starts_char[i + 1 :].any() else n
             start, end = int(at[i]), int(at[j])
-            m = len(enc.encode_ordinary(text[start:end]))
+            # cuts before a space and a letter leave all other tokens as they are; elsewhere the piece is counted anew
+            m = j - i if clean[i] and clean[j] else len(enc.encode_ordinary(text[start:end]))
             if m <= capacity or reach <= 1:
                 break
             reach = max(1, reach - (m - capacity))
@@ -115,8 +133,7 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     if not n:
         return out
     need = sizes / np.maximum(limits, 1)
-    order = np.lexsort((np.arange(n), *(-need.T[::-1])))
-    out, used = _fill(need, order, out, 0)
+    out, used = _fill(need)
     # containers that are less than half full are given up and their items packed where they fit best
     load = np.zeros((used, dims))
     np.add.at(load, out, need)
@@ -139,24 +156,31 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fill(need: np.ndarray, order: np.ndarray, out: np.ndarray, first: int) -> tuple[np.ndarray, int]:
-    rest = need[order].copy()
-    ids = order.copy()
-    weight = rest.mean(axis=0) + 1e-9  # scarce limits weigh more
-    used = first
-    while len(ids):
-        left = np.ones(rest.shape[1])
-        open_ = np.ones(len(ids), bool)
-        while True:
-            fits = np.flatnonzero(open_ & (rest <= left + 1e-12).all(axis=1))
-            if not len(fits):
+def _fill(need: np.ndarray) -> tuple[np.ndarray, int]:
+    """The heuristic over distinct sizes: equal items are interchangeable and taken in their order."""
+    out = np.full(len(need), -1, np.int64)
+    kinds, which, left_over = np.unique(need, axis=0, return_inverse=True, return_counts=True)
+    which = which.ravel()
+    order = np.argsort(which, kind="stable")
+    first = np.concatenate([[0], np.cumsum(left_over)])  # items of a kind: order[first[k] : first[k + 1]]
+    weight = need.mean(axis=0) + 1e-9  # scarce limits weigh more
+    live = np.flatnonzero(left_over)
+    used = 0
+    while len(live):
+        rest = kinds[live]
+        left = np.ones(need.shape[1])
+        cand = np.arange(len(live))
+        while len(cand):
+            cand = cand[(rest[cand] <= left + 1e-12).all(axis=1) & (left_over[live[cand]] > 0)]
+            if not len(cand):
                 break
-            k = int(fits[np.argmax(rest[fits] @ (weight * left))])
-            out[ids[k]] = used
+            k = int(cand[np.argmax(rest[cand] @ (weight * left))])
+            kind = live[k]
+            left_over[kind] -= 1
+            out[order[first[kind] + left_over[kind]]] = used
             left = left - rest[k]
-            open_[k] = False
         used += 1
-        ids, rest = ids[open_], rest[open_]
+        live = live[left_over[live] > 0]
     return out, used
 
 
@@ -179,7 +203,7 @@ def packed(items: DataFrame, segments_per_1k: float = 16.0, loss_share: float =
         return pdf.assign(local=pack(sizes, limits))
 
     schema = T.StructType([*dealt.schema.fields, T.StructField("local", T.LongType())])
-    local = dealt.groupBy("capacity", "block").applyInPandas(one, schema)
+    local = cut_lineage(dealt.groupBy("capacity", "block").applyInPandas(one, schema))  # read twice, packed once
     # dense numbers over all blocks: a running sum over one row per block
     sizes = local.groupBy("capacity", "block").agg((F.max("local") + 1).alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("capacity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -193,7 +217,7 @@ def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = token_sizes(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir))
+    items = cut_lineage(token_sizes(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir)))  # read twice, tokenized once
     return packed(items).select("capacity", "doc_id", "piece", "start_char", "end_char", "n_tokens", "n_loss", "container_no")
 
 
