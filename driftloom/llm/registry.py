@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.llm import leaks, packing, pairs, parsing, spans, splitting, truncation
+from driftloom.llm import alignment, leaks, packing, pairs, parsing, spans, splitting, truncation
 
-MODULES = [leaks, packing, pairs, parsing, spans, splitting, truncation]
+MODULES = [alignment, leaks, packing, pairs, parsing, spans, splitting, truncation]
 
 
 def queries() -> dict:
