@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.plans import references, snapshots
+from driftloom.plans import graphs, references, snapshots
 
-MODULES = [references, snapshots]
+MODULES = [graphs, references, snapshots]
 
 
 def queries() -> dict:
