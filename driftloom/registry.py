@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.plans import graphs, references, snapshots
+from driftloom.plans import drift, graphs, references, snapshots
 
-MODULES = [graphs, references, snapshots]
+MODULES = [drift, graphs, references, snapshots]
 
 
 def queries() -> dict:
