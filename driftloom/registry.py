@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.plans import drift, graphs, references, snapshots
+from driftloom.plans import domains, drift, graphs, references, snapshots, texts
 
-MODULES = [drift, graphs, references, snapshots]
+MODULES = [domains, drift, graphs, references, snapshots, texts]
 
 
 def queries() -> dict:
