@@ -57,7 +57,7 @@ def orphan_references(refs: DataFrame, keys: DataFrame, on: list[str], match: st
         there = keys.select(*[F.col(k).alias(f"__{k}") for k in cols]).dropna().distinct()
         if salt > 1:
             group = group.withColumn("__slot", F.pmod(F.xxhash64(*[c for c in refs.columns if _hashable(refs, c)]), F.lit(salt)))
-            there = there.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint"))
+            there = there.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
         cond = [F.col(k) == F.col(f"__{k}") for k in cols] + ([F.col("__slot") == F.col("__at")] if salt > 1 else [])
         parts.append(group.join(there, cond, "left_anti").drop("__slot"))
     out = parts[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from driftloom.plans import domains, drift, graphs, references, snapshots, texts
+from driftloom import api
+from driftloom.plans import chunks, domains, drift, graphs, logs, references, snapshots, texts
 
-MODULES = [domains, drift, graphs, references, snapshots, texts]
+MODULES = [api, chunks, domains, drift, graphs, logs, references, snapshots, texts]
 
 
 def queries() -> dict:
