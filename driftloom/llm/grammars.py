@@ -87,7 +87,7 @@ New <- 'new' ('.' NAME / NewTarget [[TypeArguments?]] Arguments?)
 NewTarget <- Primary ('.' (NAME / PRIVATE) / '[' Expression ']' / TEMPLATE)*
 ArrayLiteral <- '[' ','* (Argument_ (','+ Argument_)*)? ','* ']'
 ObjectLiteral <- '{' (Property (',' Property)* ','?)? '}'
-Property <- '...' Assign / ('get' / 'set') PropertyName Signature FunctionBody / ('async' NONL)? '*'? PropertyName Signature FunctionBody
+Property <- '...' Assign / ('get' / 'set') PropertyName Signature FunctionBody / ('async' NONL !('(' / ',' / ':' / '}' / '=' / '<'))? '*'? PropertyName Signature FunctionBody
     / PropertyName ':' Assign / IDENT ('=' Assign)?
 PropertyName <- NAME / STRING / NUMBER / '[' Assign ']' / PRIVATE
 TypeAnnotation_ <- [[':' Type]]
@@ -97,9 +97,10 @@ _TYPES = r"""
 ReturnAnnotation_ <- ':' ReturnType
 ReturnType <- 'asserts' NONL (IDENT / 'this') ('is' Type)? / (IDENT / 'this') NONL 'is' Type / Type
 ParameterModifier_ <- ('public' / 'private' / 'protected' / 'readonly' / 'override') &(NAME / '{' / '[')
-TypeDeclaration <- 'declare' NONL ( 'global' '{' ModuleItem* '}' / ('let' / 'var' / 'const') AmbientVariable (',' AmbientVariable)* SEMI_ / FunctionDeclaration / ClassDeclaration / TypeDeclaration )
+AmbientItem <- 'export'? ('let' / 'var' / 'const' !'enum') AmbientVariable (',' AmbientVariable)* SEMI_ / ModuleItem
+TypeDeclaration <- 'declare' NONL ( 'global' '{' AmbientItem* '}' / ('let' / 'var' / 'const') AmbientVariable (',' AmbientVariable)* SEMI_ / FunctionDeclaration / ClassDeclaration / TypeDeclaration )
     / 'type' NONL IDENT TypeParameters? '=' Type SEMI_ / InterfaceDeclaration / 'const'? 'enum' IDENT '{' (EnumMember (',' EnumMember)* ','?)? '}'
-    / ('namespace' / 'module') NONL (EntityName / STRING) ('{' ModuleItem* '}' / SEMI_)
+    / ('namespace' / 'module') NONL (EntityName / STRING) ('{' AmbientItem* '}' / SEMI_)
 AmbientVariable <- Target TypeAnnotation_? ('=' Assign)?
 InterfaceDeclaration <- 'interface' IDENT TypeParameters? ('extends' TypeReference (',' TypeReference)*)? ObjectType
 EnumMember <- PropertyName ('=' Assign)?

@@ -124,13 +124,14 @@ class ItemBlock:
         self.places: dict[int, list[tuple[int, int]]] = {}
 
     def choose_seeds(self, counts: dict[int, int]) -> None:
-        """In each window of `run` words the rarest gram of the corpus, the first of equals."""
+        """In each window of `run` words the rarest gram that the corpus has, the first of equals."""
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p, h in enumerate(self.hashes):
-            freq = np.asarray([counts.get(x, 0) for x in h.view(np.int64).tolist()], np.int64)
+            absent = np.iinfo(np.int64).max  # a gram that the corpus lacks finds nothing
+            freq = np.asarray([counts.get(x, absent) for x in h.view(np.int64).tolist()], np.int64)
             span = self.run - self.n + 1
             chosen = {i + int(np.argmin(freq[i : i + span])) for i in range(max(1, len(h) - span + 1))}
-            for q in sorted(chosen):
+            for q in sorted(x for x in chosen if freq[x] < absent):
                 places[int(h[q])].append((p, q))
         self.places = dict(places)
         self.seeds = np.asarray(sorted(self.places), np.uint64)

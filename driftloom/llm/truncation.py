@@ -69,7 +69,7 @@ def truncated_values(values: DataFrame, source: str, column: str, record: str, t
     return (
         rows.join(char_limits, [column, source, "n_chars"], "left").join(byte_limits, [column, source, "n_bytes"], "left")
         .withColumn("at_limit", F.when(~F.col("terminal"), at))
-        .select(column, source, record, "n_chars", "n_bytes", "at_limit", F.when(~F.col("cut").startswith("?") | F.col("at_limit").isNotNull(), F.regexp_replace("cut", r"^\\?", "")).alias("cut"))
+        .select(column, source, record, "n_chars", "n_bytes", "at_limit", F.when(~F.col("cut").startswith("?") | F.col("at_limit").isNotNull(), F.regexp_replace("cut", r"^\?", "")).alias("cut"))
     )
 
 
