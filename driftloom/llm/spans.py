@@ -144,8 +144,15 @@ def _contexts(min_span: int, prefix: int, split_over: int, step: int):
     cuts = list(range(prefix, min_span, step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {k: [] for k in ("grp", "id", "pos", "l", "r")}
+
+        def table_() -> pa.RecordBatch:
+            rec = pa.record_batch([pa.array(out["grp"], pa.int64()), pa.array(out["id"], pa.int64()), pa.array(out["pos"], pa.int32()), pa.array(out["l"], pa.string()), pa.array(out["r"], pa.string())], names=list(out))
+            for v in out.values():
+                v.clear()
+            return rec
+
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("grp", "id", "pos", "l", "r")}
             for i, t, ps in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("ps").to_pylist()):
                 for p in ps:
                     pos, pre, n = p["pos"], p["pre"], p["n"]
@@ -160,7 +167,9 @@ def _contexts(min_span: int, prefix: int, split_over: int, step: int):
                     for g in groups:
                         for k, v in zip(out, (g, i, pos, left, right)):
                             out[k].append(v)
-            yield pa.record_batch([pa.array(out["grp"], pa.int64()), pa.array(out["id"], pa.int64()), pa.array(out["pos"], pa.int32()), pa.array(out["l"], pa.string()), pa.array(out["r"], pa.string())], names=list(out))
+                if len(out["grp"]) >= 10_000:
+                    yield table_()
+        yield table_()
 
     return run
 
