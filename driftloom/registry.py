@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from driftloom import api
-from driftloom.plans import chunks, domains, drift, graphs, logs, pages, references, snapshots, texts
+from driftloom.plans import chunks, domains, drift, graphs, links, logs, pages, references, snapshots, texts
 
-MODULES = [api, chunks, domains, drift, graphs, logs, pages, references, snapshots, texts]
+MODULES = [api, chunks, domains, drift, graphs, links, logs, pages, references, snapshots, texts]
 
 
 def queries() -> dict:

@@ -172,3 +172,33 @@ def test_change_feed(spark, tmp_path):
     assert run() == {(1, "b", 2), (2, "x", 1)}
     feed([(1, "late", 1), (2, "y", 3)], "p2")
     assert run() == {(1, "b", 2), (2, "y", 3)}
+
+
+def test_links_and_pages():
+    from driftloom.functions.markdown import linkify, site_page
+
+    t = "Use `a` and `a` or `b`.\n```ts\n`a`\n```\n[`a`](x) `b`"
+    assert linkify(t, {"a": "A.md", "b": "B.md"}) == "Use [`a`](A.md) and `a` or [`b`](B.md).\n```ts\n`a`\n```\n[`a`](x) [`b`](B.md)"
+    assert linkify(None, {}) is None and site_page(None) is None
+    assert site_page('# T "q"\n\ntext\n# Other\n```\n# code\n```') == '---\ntitle: "T \\"q\\""\n---\ntext\n## Other\n```\n# code\n```'
+    assert site_page("no title") == "no title"
+
+
+def test_relative_paths(spark):
+    from pyspark.sql import functions as F
+
+    from driftloom.plans.links import relative_href
+
+    rows = [("a/b/c.md", "a/b/d.md", "d.md"), ("a/b/c.md", "a/x.md", "../x.md"), ("c.md", "a/x.md", "a/x.md"), ("a/c.md", "b/c/x.md", "../b/c/x.md"), ("a/b.md", "a/b.md/c.md", "b.md/c.md")]
+    df = spark.createDataFrame(rows, "s string, t string, want string")
+    assert [r.h for r in df.select(relative_href(F.col("s"), F.col("t")).alias("h")).collect()] == [r[2] for r in rows]
+
+
+def test_globs():
+    import re
+
+    from driftloom.plans.pages import glob_regex
+
+    hits = {("src/**", "src/a/b.ts"): True, ("src/*", "src/a/b.ts"): False, ("**/*.test.ts", "a.test.ts"): True, ("**/*.test.ts", "x/y/a.test.ts"): True, ("src/a", "src/a/b"): True, ("src/a", "src/ab"): False, ("a+b/*", "a+b/c"): True}
+    for (g, p), want in hits.items():
+        assert bool(re.search(glob_regex(g), p)) == want, (g, p)
