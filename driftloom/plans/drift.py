@@ -19,14 +19,18 @@ def _facets(df: DataFrame) -> list:
     return [canonical_hash(F.col(f"facets.{f}")).alias(f) for f in FACETS]
 
 
-def _past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facets of every entity at every snapshot, re-deliveries merged."""
-    e = table(spark, sf_dir, "entities")
+def _merged(e: DataFrame) -> DataFrame:
+    """Facets of entities by snapshot, re-deliveries merged."""
     return e.select("repo", "snapshot_no", "id", *_facets(e), canonical_hash(F.col("contentHash")).alias("content")).groupBy("repo", "snapshot_no", "id").agg(*[F.max(c).alias(c) for c in [*FACETS, "content"]])
 
 
+def _past(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """Facets of the entities named by `keys` (repo, snapshot_no, id); the rest of the history is left out before it is merged."""
+    return _merged(table(spark, sf_dir, "entities").join(keys.select("repo", "snapshot_no", "id").distinct(), ["repo", "snapshot_no", "id"], "left_semi"))
+
+
 def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return newest(_past(spark, sf_dir)).drop("snapshot_no")
+    return _merged(newest(table(spark, sf_dir, "entities"))).drop("snapshot_no")
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def _blocks(sec: DataFrame) -> DataFrame:
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sectionId, block, stored, current): null where the owner is not there."""
     sec = _owned(spark, sf_dir)
-    stored = facet_hashes(sec.select("repo", "sectionId", "snapshot_no", "id").join(_past(spark, sf_dir), ["repo", "snapshot_no", "id"]), ["repo", "sectionId"])
+    stored = facet_hashes(sec.select("repo", "sectionId", "snapshot_no", "id").join(_past(spark, sf_dir, sec), ["repo", "snapshot_no", "id"]), ["repo", "sectionId"])
     current = facet_hashes(sec.select("repo", "sectionId", "id").join(_now(spark, sf_dir), ["repo", "id"]), ["repo", "sectionId"])
     b = _blocks(sec).select("repo", "sectionId", "block")
     one = b.join(stored, ["repo", "sectionId"], "left").select("repo", "sectionId", "block", F.when(F.col("signature").isNotNull(), block_fingerprint(F.col("block"))).alias("stored"))
@@ -66,7 +70,7 @@ def q_stale_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dependency_hash(spark: SparkSession, sf_dir: str, sec: DataFrame, at_writing: bool) -> DataFrame:
     dep = sec.select("repo", "sectionId", "snapshot_no", F.explode("dependencyEntityIds").alias("r")).select("repo", "sectionId", "snapshot_no", canonical_id(F.col("r")).alias("id")).filter("id <> ''").distinct()
-    there = dep.join(_past(spark, sf_dir), ["repo", "snapshot_no", "id"]) if at_writing else dep.drop("snapshot_no").join(_now(spark, sf_dir), ["repo", "id"])
+    there = dep.join(_past(spark, sf_dir, dep), ["repo", "snapshot_no", "id"]) if at_writing else dep.drop("snapshot_no").join(_now(spark, sf_dir), ["repo", "id"])
     line = F.concat_ws("|", "id", F.coalesce("content", F.lit("")))
     return there.groupBy("repo", "sectionId").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), "\n"), 256).alias("h"))
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from driftloom.functions.ids import canonical_id, path_of_id
 from driftloom.operators import graphs as G
 from driftloom.plans.current import CUR, DOMAINS, EDGES, SECTIONS, TRIM, _CANON, current_domains, current_entities, dependency_edges, sections
+from driftloom.plans.snapshots import canonical_hash
 from driftloom.session import cut_lineage
+from driftloom.sources.tables import table
 
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +132,7 @@ def q_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = first_hash(spark, sf_dir, sec)
     owns = sec.select("repo", "sectionId", canonical_id(F.col("entityId")).alias("id"))
     deps = sec.select("repo", "sectionId", F.explode("dependencyEntityIds").alias("r")).select("repo", "sectionId", canonical_id(F.col("r")).alias("id")).filter("id <> ''").distinct()
-    now = ent.select("repo", "id", hash_of(F.col("contentHash")).alias("now"))
+    now = ent.select("repo", "id", canonical_hash(F.col("contentHash")).alias("now"))
     changed = written.join(now, ["repo", "id"]).filter("then <> now").select("repo", "id").distinct()
     direct = owns.join(changed, ["repo", "id"]).select("repo", "sectionId", F.lit(0).alias("o")).unionByName(deps.join(changed, ["repo", "id"]).select("repo", "sectionId", F.lit(1).alias("o")))
     direct = cut_lineage(direct.groupBy("repo", "sectionId").agg(F.min("o").alias("o")))
@@ -140,18 +142,11 @@ def q_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.unionByName(later).select("repo", "sectionId", F.col("o").cast("bigint").alias("impact_order"))
 
 
-def hash_of(c):
-    from driftloom.plans.snapshots import canonical_hash
-
-    return canonical_hash(c)
-
-
 def first_hash(spark: SparkSession, sf_dir: str, sec: DataFrame) -> DataFrame:
     """(repo, id, then): the hash of each owned entity at the snapshot its section was written against."""
-    from driftloom.sources.tables import table
-
-    e = table(spark, sf_dir, "entities").groupBy("repo", "snapshot_no", "id").agg(F.max(hash_of(F.col("contentHash"))).alias("then"))
     w = sec.select("repo", "snapshot_no", canonical_id(F.col("entityId")).alias("id"))
+    mine = table(spark, sf_dir, "entities").select("repo", "snapshot_no", "id", "contentHash").join(w.distinct(), ["repo", "snapshot_no", "id"], "left_semi")
+    e = mine.groupBy("repo", "snapshot_no", "id").agg(F.max(canonical_hash(F.col("contentHash"))).alias("then"))
     return w.join(e, ["repo", "snapshot_no", "id"]).select("repo", "id", "then")
 
 

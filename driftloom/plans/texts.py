@@ -35,12 +35,28 @@ def q_unique_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.join(unique, "span").select("pair_id", "span", "target").distinct()
 
 
+_QUOTED = r"`([A-Za-z_$][A-Za-z0-9_$]*)(?:`|\(|\.)"
+_WORDS = r"([A-Za-z_$][A-Za-z0-9_$]*)"
+
+
 def q_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities whose short name of four or more letters a claim's statement or evidence puts in code quotes, as name, call or member."""
+    """Entities whose short name of four or more letters a claim mentions: in code quotes (as name, call or member) or as a plain word.
+
+    Names are met by equality with the claim's words, not by searching every name in every text.
+    """
     names = current_entities(spark, sf_dir, ["name", "type"]).filter("type NOT IN ('file', 'domain', 'project')").select("repo", F.substring_index("name", ".", -1).alias("name")).filter("length(name) >= 4").distinct()
     c = table(spark, sf_dir, "contradicted_claims").select("claim_id", F.concat_ws("\n", "statement", "evidence").alias("t"))
-    said = c.select("claim_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"`([A-Za-z_$][A-Za-z0-9_$]*)(?:`|\(|\.)"), F.lit(1)))).alias("name")).distinct()
-    return said.join(names, "name").groupBy("claim_id", "name").agg(F.countDistinct("repo").alias("n_repos"))
+    quoted = F.regexp_extract_all("t", F.lit(_QUOTED), F.lit(1))
+    said = c.select("claim_id", quoted.alias("q"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(_WORDS), F.lit(1)))).alias("name")).select("claim_id", "name", F.array_contains("q", F.col("name")).alias("quoted"))
+    said = said.filter("length(name) >= 4").groupBy("claim_id", "name").agg(F.bool_or("quoted").alias("quoted"))
+    return said.join(names, "name").groupBy("claim_id", "name").agg(F.countDistinct("repo").alias("n_repos"), F.bool_or("quoted").alias("quoted"))
+
+
+def q_unknown_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code-quoted identifiers of the canonical texts that no repository has, and how many texts use them."""
+    names = current_entities(spark, sf_dir, ["name"]).select(F.substring_index("name", ".", -1).alias("name")).distinct()
+    said = _canonical(spark, sf_dir).select("pair_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_QUOTED), F.lit(1)))).alias("name"))
+    return said.join(names, "name", "left_anti").groupBy("name").agg(F.countDistinct("pair_id").alias("n_texts"))
 
 
 def q_search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,14 +155,19 @@ _SQL_SPANS = "list_sort(list_distinct(regexp_extract_all({c}, '`([^`\\n]+)`', 1)
 _CANONICAL = "can AS (SELECT DISTINCT pair_id, docPath, sectionId, blockId, text, language FROM translate_blocks WHERE canonical AND text IS NOT NULL)"
 _TRIMMED = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
-QUERIES = {f.__name__: f for f in (q_code_spans, q_unique_links, q_mentions, q_search_literal, q_literal_files, q_exports, q_imports, q_strip_comments, q_first_sentence, q_anchor, q_translation_status, q_json_answers, q_layout, q_render_doc, q_doc_routes)}
+QUERIES = {f.__name__: f for f in (q_code_spans, q_unique_links, q_mentions, q_unknown_symbols, q_search_literal, q_literal_files, q_exports, q_imports, q_strip_comments, q_first_sentence, q_anchor, q_translation_status, q_json_answers, q_layout, q_render_doc, q_doc_routes)}
 SQL = {
     "q_code_spans": f"WITH {_CANONICAL} SELECT pair_id, array_to_string({_SQL_SPANS.format(c='text')}, '|') AS spans, len({_SQL_SPANS.format(c='text')}) AS n_spans FROM can",
     "q_unique_links": f"""WITH {CUR}, {_CANONICAL}, n AS (SELECT split_part(name, '.', -1) AS span, min(repo || ':' || path) AS target FROM cur WHERE type NOT IN ('file', 'domain', 'project') GROUP BY 1 HAVING count(DISTINCT repo || ':' || path) = 1)
 SELECT DISTINCT s.pair_id, s.span, n.target FROM (SELECT pair_id, unnest({_SQL_SPANS.format(c='text')}) AS span FROM can) s JOIN n ON n.span = s.span""",
     "q_mentions": f"""WITH {CUR}, n AS (SELECT DISTINCT repo, split_part(name, '.', -1) AS name FROM cur WHERE type NOT IN ('file', 'domain', 'project') AND length(split_part(name, '.', -1)) >= 4),
-s AS (SELECT DISTINCT claim_id, unnest(regexp_extract_all(concat_ws(chr(10), statement, evidence), '`([A-Za-z_$][A-Za-z0-9_$]*)(?:`|\\(|\\.)', 1)) AS name FROM contradicted_claims)
-SELECT s.claim_id, s.name, count(DISTINCT n.repo) AS n_repos FROM s JOIN n ON n.name = s.name GROUP BY 1, 2""",
+t AS (SELECT claim_id, concat_ws(chr(10), statement, evidence) AS t FROM contradicted_claims),
+s AS (SELECT claim_id, t, unnest(regexp_extract_all(t, '{_WORDS}', 1)) AS name FROM t),
+q AS (SELECT claim_id, name, bool_or(list_contains(regexp_extract_all(t, '{_QUOTED}', 1), name)) AS quoted FROM s WHERE length(name) >= 4 GROUP BY 1, 2)
+SELECT q.claim_id, q.name, count(DISTINCT n.repo) AS n_repos, bool_or(q.quoted) AS quoted FROM q JOIN n ON n.name = q.name GROUP BY 1, 2""",
+    "q_unknown_symbols": f"""WITH {CUR}, {_CANONICAL}, n AS (SELECT DISTINCT split_part(name, '.', -1) AS name FROM cur),
+s AS (SELECT DISTINCT pair_id, unnest(regexp_extract_all(text, '{_QUOTED}', 1)) AS name FROM can)
+SELECT s.name, count(DISTINCT s.pair_id) AS n_texts FROM s ANTI JOIN n ON n.name = s.name GROUP BY 1""",
     "q_search_literal": """WITH l AS (SELECT file_id, string_split(source, chr(10)) AS x FROM source_files WHERE contains(source, '.register(')),
 p AS (SELECT file_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM l)
 SELECT DISTINCT file_id, CAST(i AS BIGINT) AS line_no, CAST(instr(line, '.register(') AS BIGINT) AS column_no FROM p WHERE contains(line, '.register(')""",
