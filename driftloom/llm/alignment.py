@@ -185,7 +185,10 @@ class _Scorer:
         self.trans: dict[str, dict[str, float]] = defaultdict(dict)
         known_s: dict[str, float] = {}
         known_t: dict[str, float] = {}
+        there = {w for s in ys for w in s}
         for e in entries:
+            if e["t"] not in there:
+                continue
             self.trans[e["s"]][e["t"]] = e["w"]
             known_s[e["s"]] = max(known_s.get(e["s"], 0.0), e["w"])
             known_t[e["t"]] = max(known_t.get(e["t"], 0.0), e["w"])
@@ -388,8 +391,8 @@ def aligned_sentences(blocks: DataFrame, null_score: float = NULL_SCORE) -> Data
     pairs = cut_lineage(text_pairs(blocks))
     lex = cut_lineage(lexicon(pairs))
     s = pairs.select("pair_id", "langs", "src").mapInArrow(_words("s"), _word_schema("s"))
-    t = pairs.select("pair_id", "langs", "tgt").mapInArrow(_words("t"), _word_schema("t"))
-    entries = s.join(lex, ["langs", "s"]).join(t.drop("langs"), ["pair_id", "t"]).groupBy("pair_id").agg(F.collect_list(F.struct("s", "t", "w")).alias("entries"))
+    # what the lexicon says about the words of the source text; the words of the other text are looked up when it is scored
+    entries = s.join(lex, ["langs", "s"]).groupBy("pair_id").agg(F.collect_list(F.struct("s", "t", "w")).alias("entries"))
     return pairs.join(entries, "pair_id", "left").select("pair_id", "src", "tgt", "entries").mapInArrow(_align(null_score), _ALIGNED)
 
 
