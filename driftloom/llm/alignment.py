@@ -234,13 +234,39 @@ class _Scorer:
         return s * 0.6 if here or there else s
 
 
+def _matrix(sc: _Scorer) -> np.ndarray:
+    """The scores of all sentence pairs, reached through the words they share."""
+    where: dict[str, list[int]] = defaultdict(list)
+    for j, b in enumerate(sc.y):
+        for w in b:
+            where[w].append(j)
+    sum_y = [sum(b.values()) for b in sc.y]
+    anchors_y = [{w for w in b if is_anchor(w)} for b in sc.y]
+    out = np.zeros((len(sc.x), len(sc.y)))
+    for i, a in enumerate(sc.x):
+        left: dict[int, set[str]] = defaultdict(set)
+        right: dict[int, set[str]] = defaultdict(set)
+        for w in a:
+            for t in (w,) if is_anchor(w) else sc.trans.get(w, ()):
+                for j in where.get(t, ()):
+                    left[j].add(w)
+                    right[j].add(t)
+        sum_x, here = sum(a.values()), {w for w in a if is_anchor(w)}
+        for j in left:
+            b = sc.y[j]
+            s = (sum(a[w] for w in left[j]) + sum(b[t] for t in right[j])) / (sum_x + sum_y[j])
+            there = anchors_y[j]
+            out[i, j] = (s * 0.3 if here.isdisjoint(there) else s) if here and there else s * 0.6 if here or there else s
+    return out
+
+
 def align_sentences(src: str, tgt: str, entries: list[dict], null_score: float = NULL_SCORE) -> list[tuple[int, int]]:
     """(source sentence, target sentence) pairs that render the same content."""
     xs, ys = [tokens(s) for s in sentences(src)], [tokens(s) for s in sentences(tgt)]
     if not xs or not ys:
         return []
     sc = _Scorer(xs, ys, entries)
-    single = np.asarray([[sc.score(a, b) for b in sc.y] for a in sc.x])
+    single = _matrix(sc)
     row_units = _merge(sc.x, sc.y, single, sc.score)
     col_units = _merge(sc.y, sc.x, single.T, lambda a, b: sc.score(b, a))
     # a sentence takes part in one merge only: those of the source side first, then those of the target that are left

@@ -84,3 +84,15 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "A `x`.", True, "en", 0), (2, None, True, "en", 0), (2, "B.", False, "de", 0), (3, "", True, "en", 0), (3, "", False, None, 0), (4, "`q` is.", True, None, 0), (4, "`q` ist.", False, None, 0)], schema)
     assert {tuple(r) for r in aligned_sentences(df).collect()} == {(4, 0, 0)}
     assert aligned_sentences(df.limit(0)).count() == 0
+
+
+def test_matrix_equals_the_scores_pair_by_pair():
+    from driftloom.llm.alignment import _matrix, _Scorer
+
+    rng = random.Random(4)
+    word = lambda p: rng.choice([f"{p}{rng.randrange(6)}", "`x`", "7"])
+    xs, ys = [[word("s") for _ in range(5)] for _ in range(6)], [[word("t") for _ in range(4)] for _ in range(7)]
+    entries = [{"s": f"s{rng.randrange(6)}", "t": f"t{rng.randrange(6)}", "w": rng.random()} for _ in range(14)]
+    sc = _Scorer(xs, ys, entries)
+    want = np.asarray([[sc.score(a, b) for b in sc.y] for a in sc.x])
+    assert np.allclose(_matrix(sc), want)
