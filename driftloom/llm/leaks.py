@@ -8,6 +8,12 @@ consecutive words with the item holds the seed of that window.  A second pass fi
 document words around each of them.  A hit has the alignment score as a share of the item's perfect score, and the
 longest run of words in common on one diagonal.
 
+An edited copy need not hold a rare seed, nor any seed at all.  Where copies of a stated similarity are asked for (`near`),
+the second pass also aligns every stretch of a document that holds enough of an item's word pairs: an alignment of score S
+with an item of L words has at most 2L - S words and gaps that do not match, so it spans at most 3L - S words of the
+document and at least S - L - 1 of them start a pair of adjacent words that the item has too.  No copy of that similarity
+lacks these, so none is lost.
+
 Words are maximal runs of letters and digits in lower case.  Defined results: null and empty texts hold no words; items
 shorter than the n-gram have no seeds and are never found, items shorter than `run` take their rarest n-gram; repeated
 documents and items are reported under each of their ids; an empty table on either side gives an empty result.
@@ -32,6 +38,7 @@ from pyspark.sql import types as T
 from driftloom.sources.tables import table
 
 SEED_WORDS, RUN_WORDS, PAD = 5, 12, 16
+NEAR = 0.8
 BLOCK_ITEMS, ITEM_WORDS = 2000, 512
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,8 +115,8 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class ItemBlock:
     """One block of items as every task holds it."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int, run: int, item_words: int):
-        self.n, self.run = n, run
+    def __init__(self, items: list[tuple[int, str | None]], n: int, run: int, item_words: int, near: float | None = None):
+        self.n, self.run, self.near = n, run, near
         self.vocabulary: dict[str, int] = {}
         self.parts: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
@@ -122,6 +129,22 @@ class ItemBlock:
         self.grams = np.unique(np.concatenate(self.hashes)) if self.hashes else np.zeros(0, np.uint64)
         self.seeds = self.grams
         self.places: dict[int, list[tuple[int, int]]] = {}
+        if near is not None:
+            self._index_pairs()
+
+    def _index_pairs(self) -> None:
+        """The parts that hold each pair of adjacent words; per part the pairs a near copy has and the words it spans."""
+        size = np.asarray([len(ids) for _, ids in self.parts], np.int64)
+        least = np.ceil(np.round(self.near * 2 * size, 6)).astype(np.int64)
+        self.need, self.reach = least - size - 1, 3 * size - least
+        if (self.need < 1).any():
+            raise ValueError("near is too low for items of this length: their copies need not share a pair of words")
+        held = [np.unique(_grams(ids, 2)[0]) for _, ids in self.parts]
+        pair = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        part = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        order = np.argsort(pair, kind="stable")
+        self.pairs, first = np.unique(pair[order], return_index=True)
+        self.pair_parts, self.pair_starts = part[order], np.append(first, len(pair))
 
     def choose_seeds(self, counts: dict[int, int]) -> None:
         """In each window of `run` words the rarest gram that the corpus has, the first of equals."""
@@ -144,6 +167,45 @@ def _lookup(h: np.ndarray, table_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(table_[at] == h)
 
 
+def _near_stretches(b: ItemBlock, flat: np.ndarray, starts: np.ndarray, chunk: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(part, documents, first words, width) of the stretches of documents that may hold a near copy of the part.
+
+    A part is held against its documents in steps of its own length, each with the reach of a copy on both sides.
+    """
+    h, at = _grams(flat, 2)
+    hit = _lookup(h, b.pairs)
+    gram, pos = np.searchsorted(b.pairs, h[hit]), at[hit]
+    doc = np.searchsorted(starts, pos, "right") - 1
+    n_parts = len(b.parts)
+    i = 0
+    while i < len(pos):
+        # whole documents, as many as hold about `chunk` pairs
+        j = int(np.searchsorted(doc, doc[min(i + chunk, len(doc)) - 1], "right"))
+        d0, n_docs = doc[i], doc[j - 1] - doc[i] + 1
+        size = b.pair_starts[gram[i:j] + 1] - b.pair_starts[gram[i:j]]
+        ends = np.cumsum(size)
+        part = b.pair_parts[np.arange(ends[-1]) + np.repeat(b.pair_starts[gram[i:j]] - ends + size, size)]
+        where = np.repeat(pos[i:j], size)
+        key = (np.repeat(doc[i:j], size) - d0) * n_parts + part
+        enough = np.bincount(key, minlength=n_docs * n_parts) >= np.tile(b.need, n_docs)
+        keep = enough[key]
+        part, where, key = part[keep], where[keep], key[keep]
+        order = np.argsort(key, kind="stable")
+        part, where, key = part[order], where[order], key[order]
+        i = j
+        # a pair starts a copy if the need-th pair from it on is of the same document and part and within reach
+        last = np.arange(len(key)) + b.need[part] - 1
+        ok = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        ok &= (key[last] == key) & (where[last] - where < b.reach[part])
+        part, where, docs = part[ok], where[ok], key[ok] // n_parts + d0
+        for p in np.unique(part).tolist():
+            mine = part == p
+            step, reach = len(b.parts[p][1]), int(b.reach[p])
+            places = np.unique(np.stack([docs[mine], (where[mine] - starts[docs[mine]]) // step]), axis=1)
+            yield p, places[0], starts[places[0]] + places[1] * step - reach, step + 2 * reach
+
+
 def _counter(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
@@ -174,19 +236,25 @@ def _aligner(block):
                 for p, q in b.places[x]:
                     cand[p].add((doc, pos - q))
             found: dict[tuple[int, int], list[int]] = {}
-            for p, places in cand.items():
+
+            def hold(p: int, docs: np.ndarray, first: np.ndarray, width: int) -> None:
                 item_id, item = b.parts[p]
-                width = len(item) + 2 * PAD
-                rows = sorted(places)
-                for k in range(0, len(rows), 4096):
-                    docs, diag = (np.asarray(x, np.int64) for x in zip(*rows[k : k + 4096]))
-                    where = diag[:, None] - PAD + np.arange(width)
-                    inside = (where >= starts[docs][:, None]) & (where < starts[docs + 1][:, None])
+                for k in range(0, len(docs), 4096):
+                    ds = docs[k : k + 4096]
+                    where = first[k : k + 4096, None] + np.arange(width)
+                    inside = (where >= starts[ds][:, None]) & (where < starts[ds + 1][:, None])
                     windows = np.where(inside, flat[np.clip(where, 0, len(flat) - 1)], 0)
                     score, longest = align(item, windows)
-                    for d, s, r in zip(docs.tolist(), (score * 1000 // (2 * len(item))).tolist(), longest.tolist()):
+                    for d, s, r in zip(ds.tolist(), (score * 1000 // (2 * len(item))).tolist(), longest.tolist()):
                         old = found.setdefault((d, item_id), [0, 0])
                         old[0], old[1] = max(old[0], s), max(old[1], r)
+
+            for p, places in cand.items():
+                docs, diag = (np.asarray(x, np.int64) for x in zip(*sorted(places)))
+                hold(p, docs, diag - PAD, len(b.parts[p][1]) + 2 * PAD)
+            if b.near is not None:
+                for p, docs, first, width in _near_stretches(b, flat, starts):
+                    hold(p, docs, first, width)
             doc_ids = batch.column(0)
             keys = list(found)
             yield pa.record_batch(
@@ -206,11 +274,12 @@ _COUNTS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n",
 
 
 def leaked_passages(
-    docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, run_words: int = RUN_WORDS, block_items: int = BLOCK_ITEMS, item_words: int = ITEM_WORDS
+    docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, run_words: int = RUN_WORDS, block_items: int = BLOCK_ITEMS, item_words: int = ITEM_WORDS, near: float | None = None
 ) -> DataFrame:
     """(doc_id, item_id, similarity, run_words) of every document and item with a seed in common.
 
-    `docs` has doc_id and text, `items` item_id and text.
+    `docs` has doc_id and text, `items` item_id and text.  With `near`, every document and item of at least that similarity
+    is among them, seed or not, and a similarity of `near` or more is exact.
     """
     if not 0 < seed_words <= run_words < item_words:
         raise ValueError("need 0 < seed_words <= run_words < item_words")
@@ -220,7 +289,7 @@ def leaked_passages(
     out: DataFrame | None = None
     for k in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).select("item_id", "text").distinct().collect()
-        block = ItemBlock([tuple(r) for r in part], seed_words, run_words, item_words)
+        block = ItemBlock([tuple(r) for r in part], seed_words, run_words, item_words, near)
         shared = spark.sparkContext.broadcast(block)
         counts = docs.select("text").mapInArrow(_counter(shared), _COUNTS).groupBy("gram").agg(F.sum("n").alias("n")).collect()
         block.choose_seeds({r.gram: r.n for r in counts})
@@ -230,8 +299,8 @@ def leaked_passages(
     return out
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+def _hits(spark: SparkSession, sf_dir: str, near: float | None = None) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"), near=near)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,14 +309,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents holding an item wholly or as an edited copy: alignment of at least 0.8 of the item's perfect score."""
-    h = _hits(spark, sf_dir).filter("similarity >= 0.8")
+    h = _hits(spark, sf_dir, NEAR).filter(F.col("similarity") >= NEAR)
     return h.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("run_words").alias("run_words"))
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item, the documents that share a run of words with it and those that hold it nearly whole."""
-    h = _hits(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("s"), F.max("run_words").alias("r"))
-    return h.groupBy("item_id").agg(F.count_if(F.col("r") >= RUN_WORDS).alias("n_docs_run"), F.count_if(F.col("s") >= 0.8).alias("n_docs_near"))
+    h = _hits(spark, sf_dir, NEAR).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("s"), F.max("run_words").alias("r"))
+    return h.groupBy("item_id").agg(F.count_if(F.col("r") >= RUN_WORDS).alias("n_docs_run"), F.count_if(F.col("s") >= NEAR).alias("n_docs_near"))
 
 
 QUERIES = {"p9_found": p9_found, "p9_edited": p9_edited, "p9_items": p9_items}

@@ -38,6 +38,42 @@ def test_edited_copies_score_high(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)] and got[0].similarity >= 0.8
 
 
+def best_score(item, doc):
+    h = np.zeros((len(item) + 1, len(doc) + 1), int)
+    for i, x in enumerate(item, 1):
+        for j, y in enumerate(doc, 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if x == y else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return h.max()
+
+
+def test_edited_copy_beside_an_exact_one(spark):
+    item = [f"w{i}" for i in range(35)]
+    edited = ["changed" if i in (11, 23) else w for i, w in enumerate(item)]
+    spread = [w for i, x in enumerate(item) for w in ([x, "more"] if i % 3 == 2 else [x])]  # no 5-gram of the item is left
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(edited)), (3, " ".join(spread))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in leaked_passages(docs, items, near=0.8).filter("similarity >= 0.8").collect()}
+    assert got == {1: 1.0, 2: 0.914, 3: 0.842}
+
+
+def test_near_copies_equal_plain_smith_waterman(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, text(rng.randrange(5, 40))) for i in range(12)]
+    docs = []
+    for i in range(90):
+        copy = []
+        for w in rng.choice(items)[1]:
+            how = rng.random()
+            copy += [] if how < 0.04 else [rng.choice(vocab)] if how < 0.08 else [w, *text(rng.randrange(1, 3))] if how < 0.2 else [w]
+        docs.append((i, text(rng.randrange(60)) + copy + text(rng.randrange(60))))
+    want = {(d, i): s * 1000 // (2 * len(x)) for d, t in docs for i, x in items if (s := best_score(x, t)) >= 1.6 * len(x)}
+    joined = lambda rows: [(k, " ".join(w)) for k, w in rows]
+    got = leaked_passages(spark.createDataFrame(joined(docs), "doc_id long, text string"), spark.createDataFrame(joined(items), "item_id long, text string"), near=0.8)
+    assert len(want) > 30 and {(r.doc_id, r.item_id): round(r.similarity * 1000) for r in got.filter("similarity >= 0.8").collect()} == want
+
+
 def test_long_items_are_cut_with_overlap():
     b = ItemBlock([(1, " ".join(f"a{i}" for i in range(100)))], 4, 8, 32)
     covered = {tuple(ids[i : i + 8]) for _, ids in b.parts for i in range(len(ids) - 7)}
