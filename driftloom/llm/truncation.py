@@ -1,7 +1,9 @@
 """Text cut off by field limits or in transfer.
 
-Per source and column, the histogram of value lengths is tested for a spike at its maximum, in characters and in
-bytes: a field limit piles values up at one length that few values exceed.  A value at a spike length without terminal
+Per source and column, the histogram of value lengths is tested for spikes, in characters and in bytes: a field limit
+piles values up at one length, however many uncut values are longer, so a spike is held against the lengths shortly below
+and shortly above it (`field_limits`).  Below `NEIGHBOURS`, where templates and empty containers pile up too, it must
+exceed all longer values together.  `p1_limits` lists by its SQL only the spikes that do (`length_spikes`).  A value at a spike length without terminal
 punctuation is flagged.  Values cut in transfer end at any length; they and the flagged ones are then held against the
 structure of their ending (`endings.cut_kind`): an open sentence, list entry, table row, code span, fence or JSON text,
 or the mark an exporter left behind the cut.  A complete ending clears a value that merely has the limit's length.  Endings
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from driftloom.llm.endings import cut_kind
 from driftloom.sources.tables import table
 
-#: A spike: at least this many values, this many times the mean of the lengths below it, and more than all that are longer.
+#: A spike: at least this many values, and this many times the mean of so many lengths beside it.
 MIN_VALUES, FACTOR, NEIGHBOURS = 5, 8.0, 64
 
 
@@ -34,8 +36,8 @@ def cut_kind_udf(texts: pd.Series) -> pd.Series:
     return texts.map(cut_kind, na_action="ignore")
 
 
-def length_spikes(values: DataFrame, by: list[str], text: str, min_values: int = MIN_VALUES, factor: float = FACTOR, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """The field limits per group `by`: unit (chars or bytes), length, number of values at it, below and above it."""
+def _spikes(values: DataFrame, by: list[str], text: str, min_values: int, factor: float, neighbours: int) -> DataFrame:
+    """Lengths that stand out from those below, with `n_longer` of all longer values and `n_above` of those shortly above."""
     lengths = F.array(
         F.struct(F.lit("chars").alias("unit"), F.char_length(text).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length"))
     )
@@ -45,20 +47,32 @@ def length_spikes(values: DataFrame, by: list[str], text: str, min_values: int =
     )
     w = Window.partitionBy(*by, "unit").orderBy("length")
     near = F.coalesce(F.sum("n").over(w.rangeBetween(-neighbours, -1)), F.lit(0))
+    above = F.coalesce(F.sum("n").over(w.rangeBetween(1, neighbours)), F.lit(0))
     longer = F.coalesce(F.sum("n").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
     return (
-        hist.withColumn("n_near", near).withColumn("n_longer", longer)
-        .filter((F.col("n") >= min_values) & (F.col("n") >= factor * (F.col("n_near") / neighbours + 0.5)) & (F.col("n") > F.col("n_longer")))
+        hist.withColumn("n_near", near).withColumn("n_above", above).withColumn("n_longer", longer)
+        .filter((F.col("n") >= min_values) & (F.col("n") >= factor * (F.col("n_near") / neighbours + 0.5)))
     )
 
 
+def length_spikes(values: DataFrame, by: list[str], text: str, min_values: int = MIN_VALUES, factor: float = FACTOR, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The spikes that few values exceed, per group `by`: unit (chars or bytes), length, number of values at it, below and above it."""
+    return _spikes(values, by, text, min_values, factor, neighbours).filter(F.col("n") > F.col("n_longer")).drop("n_above")
+
+
+def field_limits(values: DataFrame, by: list[str], text: str, min_values: int = MIN_VALUES, factor: float = FACTOR, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The field limits per group `by`, also those that many uncut values exceed: the spikes against both sides."""
+    both = (F.col("length") >= neighbours) & (F.col("n") >= factor * (F.col("n_above") / neighbours + 0.5))
+    return _spikes(values, by, text, min_values, factor, neighbours).filter((F.col("n") > F.col("n_longer")) | both)
+
+
 def truncated_values(values: DataFrame, source: str, column: str, record: str, text: str) -> DataFrame:
     """(column, source, record, n_chars, n_bytes, at_limit, cut) of every value that is not blank.
 
     `at_limit` names the unit whose spike a value without terminal punctuation sits on, `cut` what its ending lacks
     (null for a complete one; what style alone excuses counts at a limit only).
     """
-    spikes = length_spikes(values, [column, source], text).select(column, source, "unit", "length")
+    spikes = field_limits(values, [column, source], text).select(column, source, "unit", "length")
     char_limits = spikes.filter("unit = 'chars'").select(column, source, F.col("length").alias("n_chars"), F.lit(True).alias("at_chars"))
     byte_limits = spikes.filter("unit = 'bytes'").select(column, source, F.col("length").alias("n_bytes"), F.lit(True).alias("at_bytes"))
     rows = values.filter(F.col(text).isNotNull()).select(

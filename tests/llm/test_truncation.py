@@ -1,4 +1,4 @@
-from driftloom.llm.truncation import length_spikes, p1_found, truncated_values
+from driftloom.llm.truncation import field_limits, length_spikes, p1_found, truncated_values
 from oracle import check
 from driftloom.llm import truncation
 
@@ -22,6 +22,14 @@ def test_style_counts_at_a_limit_only(spark):
     assert got == [("chars", "item")] * 8 + [(None, None)] * 3
 
 
+def test_limit_that_many_uncut_values_exceed(spark):
+    at = "- one thing here\n- " + "x" * 181
+    rows = [("a", at)] * 20 + [("a", "w" * i + ".") for i in range(100, 400)] + [("a", "{}")] * 60
+    assert {(r.unit, r.length) for r in field_limits(values(spark, rows), ["t", "feed"], "text").collect()} == {("chars", 200), ("bytes", 200)}
+    got = truncated_values(values(spark, rows), "feed", "t", "id", "text")
+    assert [(r.at_limit, r.cut) for r in got.filter("id < 20").collect()] == [("chars", "item")] * 20 and got.filter("id >= 20 AND cut IS NOT NULL").count() == 0
+
+
 def test_empty_table_and_queries(spark, data):
     assert truncated_values(values(spark, []), "feed", "t", "id", "text").count() == 0
     assert p1_found(spark, data).columns == ["table_name", "record_id"]
