@@ -14,11 +14,60 @@ _NOTHING = re.compile(f"[{BLANK}\"'`\u201c\u201d\u201e\u00ab\u00bb\u2018\u2019\u
 _FENCED = re.compile(r"^\s*(?:```|~~~)[\w+-]*\s*\n?(.*?)\n?\s*(?:```|~~~)\s*$", re.S)
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^\s\[\]{},:"]+))')
+
+
+def _deep_leaves(text: str) -> list[object]:
+    """`_leaves` of a text nested too deeply for the json module, with a stack of its own."""
+    out: list[object] = []
+    stack: list[str] = []
+    want, at, text = "value", 0, text.rstrip(" \t\n\r")
+    while at < len(text):
+        m = _JSON_TOKEN.match(text, at)
+        if not m:
+            raise ValueError(text[at : at + 20])
+        at = m.end()
+        mark, string, scalar = m.groups()
+        if mark and mark in "[{" and want in ("value", "first"):
+            stack.append(mark)
+            want = "first" if mark == "[" else "first key"
+        elif mark and mark in "]}" and stack and stack[-1] == "[{"["]}".index(mark)] and want in ("next", "first" if mark == "]" else "first key"):
+            stack.pop()
+            want = "next"
+        elif mark == "," and want == "next" and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif mark == ":" and want == "colon":
+            want = "value"
+        elif string and want in ("key", "first key"):
+            json.loads(string)
+            want = "colon"
+        elif (string or scalar) and want in ("value", "first"):
+            out.append(json.loads(string or scalar))
+            want = "next"
+        else:
+            raise ValueError(m.group())
+    if stack or want != "next":
+        raise ValueError("open at the end")
+    return out
+
+
+def _leaves(text: str) -> list[object]:
+    """The values of a JSON text that are no containers, in order; ValueError if it is none."""
+    try:
+        todo = [json.loads(text)]
+    except RecursionError:
+        return _deep_leaves(text)
+    out = []
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict | list):
+            todo.extend(reversed(v.values() if isinstance(v, dict) else v))
+        else:
+            out.append(v)
+    return out
+
+
 def _hollow(value: object) -> bool:
-    if isinstance(value, dict):
-        return all(_hollow(v) for v in value.values())
-    if isinstance(value, list):
-        return all(_hollow(v) for v in value)
     return value is None or isinstance(value, str) and not _NOTHING.sub("", value)
 
 
@@ -32,9 +81,9 @@ def is_empty(text: str | None) -> bool:
         t = strip(m.group(1))
     if not _NOTHING.sub("", t):
         return True
-    if t[0] in "{[" and len(t) < 2000:
+    if t[0] in "{[":
         try:
-            return _hollow(json.loads(t))
+            return all(map(_hollow, _leaves(t)))
         except ValueError:
             return False
     return False
@@ -51,7 +100,7 @@ _REFUSALS = [
         r"^(?:sorry|apologies)\W+no\b",
         r"\bno (?:documentation|answer|text) will be (?:produced|given|written)\b",
         # German
-        r"(?=.*\bich\b)\b(?:kann|darf|werde|m\u00f6chte|will|k\u00f6nnte)\b.{0,80}\bnicht(?:s)?\b.{0,80}\b(?:helfen|beantworten|schreiben|beurteilen|beschreiben|pr\u00fcfen|weiterhelfen|dokumentieren|liefern|erf\u00fcllen|bearbeiten|kommentieren|erkl\u00e4ren|bewerten|\u00fcbersetzen|erstellen|sagen)\b",
+        r"\b(?:kann|darf|werde|m\u00f6chte|will|k\u00f6nnte)\b(?=.*\bich\b).{0,80}\bnicht(?:s)?\b.{0,80}\b(?:helfen|beantworten|schreiben|beurteilen|beschreiben|pr\u00fcfen|weiterhelfen|dokumentieren|liefern|erf\u00fcllen|bearbeiten|kommentieren|erkl\u00e4ren|bewerten|\u00fcbersetzen|erstellen|sagen)\b",
         r"\bich\b.{0,30}\bmuss\b.{0,80}\b(?:ablehnen|verweigern)\b|\bmuss ich\b.{0,80}\b(?:ablehnen|verweigern)\b|\bich lehne\b.{0,80}\bab\b",
         r"\bbin ich nicht in der Lage\b|\bich bin nicht in der Lage\b|\bist mir nicht (?:erlaubt|gestattet)\b",
         # Russian
@@ -67,14 +116,6 @@ _REFERRALS = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def _strings(value: object) -> list[str]:
-    if isinstance(value, str):
-        return [value]
-    if isinstance(value, dict):
-        return [s for v in value.values() for s in _strings(v)]
-    return [s for v in value for s in _strings(v)] if isinstance(value, list) else []
-
-
 def declines(sentence: str) -> bool:
     return any(p.search(sentence) for p in _REFUSALS)
 
@@ -87,16 +128,19 @@ def is_refusal(text: str | None) -> bool:
     m = _FENCED.match(t)
     if m:
         t = strip(m.group(1))
-    if len(t) > 1500:
-        return False
     if t[:1] in "{[":
         try:
-            t = " ".join(s for s in _strings(json.loads(t)))
+            t = " ".join(s for s in _leaves(t) if isinstance(s, str))
         except ValueError:
             return False
-    sentences = [s for s in _SENTENCE.split(strip(t).strip("\"'")) if s.strip()]
-    said = [declines(s) for s in sentences]
-    return any(said) and all(d or _REFERRALS.match(s.strip("\"'> ")) for d, s in zip(said, sentences))
+    declined = False
+    for s in _SENTENCE.split(strip(t).strip("\"'")):
+        if s.strip():
+            if declines(s):
+                declined = True
+            elif not _REFERRALS.match(s.strip("\"'> ")):
+                return False
+    return declined
 
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -110,8 +154,6 @@ def is_copy(user: str | None, response: str | None, lead_in: int = 60) -> bool:
     """The response is the user message but for case, white space, quoting and a lead-in of at most `lead_in` letters."""
     if not user or not response:
         return False
-    if len(response) > 4 * len(user) + 400:
-        return False
     u, r = _letters(user), _letters(response)
     return bool(u) and len(u) <= len(r) <= len(u) + lead_in and r.endswith(u)
 

@@ -5,7 +5,8 @@ A logistic model per defect is trained on hashed n-grams of the response's head
 pairs are made from the table itself: a bounded sample of sound pairs (`train_pairs`) whose responses are truncated at
 random, replaced by the prompt in the ways copies come, swapped with a response in another language, replaced by
 composed refusals, or emptied.  On held-out pairs each label's threshold is set to keep `recall` of its positives.
-Pairs above a threshold are then decided by the exact rules of `defects`, in the fixed order of the defect types.
+Pairs above a threshold are then decided by the exact rules of `defects`, in the fixed order of the defect types, and so
+are all responses of more than `LONG` characters, as the made refusals and empty responses are shorter.
 
 Defined results: a null response, a null response struct and a blank one are `empty`; a pair without a user message can
 only be empty, a refusal or truncated; null messages and null roles are skipped; repeated rows give the same verdict; an
@@ -37,6 +38,8 @@ from driftloom.sources.tables import table
 DIMS = 1 << 15
 TRAIN_PAIRS = 1200
 RECALL = 0.999
+#: The defects made for training have shorter responses than this; longer ones are all decided by the exact rules.
+LONG = 1000
 _TOKEN = re.compile(r"`[^`\n]*`?|[^\W_]+|[^\w\s]")
 _OPENERS = ["", "I'm sorry, but ", "Sorry, ", "Unfortunately, ", "Apologies, ", "Thank you, but ", "Having seen the request, ", "Thanks for asking, yet "]
 _REFUSALS = {
@@ -216,7 +219,7 @@ def defective_pairs(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS, recall: fl
                 idx, val = features(s, u, r)
                 hit = np.flatnonzero(val @ w[idx] >= cut)
                 names.append(",".join(DEFECTS[j] for j in hit))
-                verdicts.append(defect_of(s, u, r) if len(hit) else None)
+                verdicts.append(defect_of(s, u, r) if len(hit) or len(r or "") > LONG else None)
             out = b[key].assign(candidates=names, defect=verdicts)
             yield out[out["defect"].notna()]
 

@@ -37,6 +37,20 @@ def test_copies():
     assert not is_copy(None, ASK) and not is_copy(ASK, None)
 
 
+def test_long_defects_are_no_exception(spark):
+    refusal = "I cannot help with that. " * 100
+    hollow = '{"sections": {' + ", ".join(f'"part {i}": [""]' for i in range(300)) + "}}"
+    padded = ASK[:20] + " \n" * 700 + ASK[20:]
+    deep = "[" * 200_000 + "]" * 200_000
+    assert is_refusal(refusal) and not is_refusal(refusal + "The parser reads the file.")
+    assert is_empty(hollow) and not is_empty(hollow.replace('"part 7": [""]', '"part 7": ["x"]')) and is_copy(ASK, padded)
+    assert is_empty(deep) and not is_empty(deep[:-1]) and not is_empty("[" * 200_000 + "1" + "]" * 200_000)
+    rows = [(i, "", ASK, f"The parser number {i} reads the file and returns it to its caller.") for i in range(40)]
+    rows += [(90, "", ASK, refusal), (91, "", ASK, hollow), (92, "", ASK, padded)]
+    got = defective_pairs(spark.createDataFrame(rows, "id long, system string, user string, response string"))
+    assert {(r.id, r.defect) for r in got.collect()} == {(90, "refusal"), (91, "empty"), (92, "copy")}
+
+
 def test_languages():
     assert language_of("Der Parser liest die Datei und gibt sie zurück.") == "de"
     assert language_of("`code` 12") is None and language_of(None) is None
