@@ -75,7 +75,7 @@ def features(system: str | None, user: str | None, response: str | None) -> tupl
 
     put(1 + min(15, int(math.log2(len(r) + 1))))
     put(17, min(3.0, len(r) / (len(u) + 1)) / 3)
-    ru, uu = _TOKEN.findall(r[:4000].lower()), _TOKEN.findall(u[:4000].lower())
+    ru, uu = _TOKEN.findall(r.lower()), _TOKEN.findall(u.lower())
     a, b = set(ru), set(uu)
     both = len(a & b)
     put(18, both / (len(a) or 1))

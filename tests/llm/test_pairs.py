@@ -4,7 +4,7 @@ import pytest
 
 from driftloom.llm.defects import defect_of, is_copy, is_empty, is_refusal
 from driftloom.llm.languages import language_named, language_of
-from driftloom.llm.pairs import DEFECTS, defective_pairs, features, p6_found, pair_rows, train, training_set
+from driftloom.llm.pairs import DEFECTS, _slot, defective_pairs, features, p6_found, pair_rows, train, training_set
 from driftloom.sources.tables import table
 
 ASK = "Explain how the parser works and what it must check before the next run."
@@ -51,6 +51,11 @@ def test_long_defects_are_no_exception(spark):
     assert {(r.id, r.defect) for r in got.collect()} == {(90, "refusal"), (91, "empty"), (92, "copy")}
 
 
+def test_features_see_whole_texts():
+    slots = lambda r: set(features("", "zebra", r)[0].tolist())
+    assert _slot("e ?") in slots("word " * 1000 + "ends here ?") and 19 in slots("word " * 1000 + "zebra.")
+
+
 def test_languages():
     assert language_of("Der Parser liest die Datei und gibt sie zurück.") == "de"
     assert language_of("`code` 12") is None and language_of(None) is None
