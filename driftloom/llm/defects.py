@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from driftloom.llm.endings import BLANK, is_cut, strip
+from driftloom.llm.endings import BLANK, cut_kind, is_cut, strip
 from driftloom.llm.languages import language_named, language_of
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
@@ -173,15 +173,15 @@ def asked_language(system: str | None, user: str | None) -> str | None:
     return language_named(user) or language_named(system) or language_of(user)
 
 
-def defect_of(system: str | None, user: str | None, response: str | None) -> str | None:
-    """The first defect of the fixed order that the pair has, or None."""
+def defect_of(system: str | None, user: str | None, response: str | None, at_limit: bool = False) -> str | None:
+    """The first defect of the fixed order that the pair has, or None; at a field limit, endings that style alone excuses are cut."""
     if is_empty(response):
         return "empty"
     if is_refusal(response):
         return "refusal"
     if is_copy(user, response):
         return "copy"
-    if is_cut(response):
+    if is_cut(response) or at_limit and cut_kind(response):
         return "truncated"
     asked, given = asked_language(system, user), language_of(without_echo(user, response))
     return "other_language" if asked and given and asked != given else None

@@ -6,13 +6,15 @@ pairs are made from the table itself: a bounded sample of sound pairs (`train_pa
 random, replaced by the prompt in the ways copies come, swapped with a response in another language, replaced by
 composed refusals, or emptied.  On held-out pairs each label's threshold is set to keep `recall` of its positives.
 Pairs above a threshold are then decided by the exact rules of `defects`, in the fixed order of the defect types, and so
-are all responses of more than `LONG` characters, as the made refusals and empty responses are shorter.
+are all responses of more than `LONG` characters, as the made refusals and empty responses are shorter, and those that have
+the length of a field limit (`with_limits`).
 
 Defined results: a null response, a null response struct and a blank one are `empty`; a pair without a user message can
 only be empty, a refusal or truncated; null messages and null roles are skipped; repeated rows give the same verdict; an
 empty table gives an empty result; extra columns are ignored.
 
-Scale: the model is at most DIMS x 5 numbers whatever the input; scoring is one pass in Arrow batches without a shuffle.
+Scale: the model is at most DIMS x 5 numbers whatever the input; scoring is one pass in Arrow batches without a shuffle; the field
+limits are a small table made from a histogram of lengths.
 The sample that trains it is bounded by `train_pairs`; everything else covers all rows.
 """
 
@@ -33,6 +35,7 @@ from pyspark.sql import types as T
 from driftloom.llm.defects import DEFECTS, asked_language, defect_of, without_echo
 from driftloom.llm.endings import export_mark, json_open, sentence_done, strip
 from driftloom.llm.languages import language_of
+from driftloom.llm.truncation import TERMINAL, field_limits
 from driftloom.sources.tables import table
 
 DIMS = 1 << 15
@@ -201,10 +204,20 @@ def pair_rows(stages: DataFrame) -> DataFrame:
     )
 
 
+def with_limits(pairs: DataFrame) -> DataFrame:
+    """`pairs` with `at_limit`: the response has the length of a field limit of its feed and no terminal punctuation, as in problem 1."""
+    lengths = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.col("length")))
+    limits = field_limits(pairs, ["feed"], "response").groupBy("feed").agg(lengths("chars").alias("_chars"), lengths("bytes").alias("_bytes"))
+    at = F.array_contains("_chars", F.char_length("response")) | F.array_contains("_bytes", F.octet_length("response"))
+    return pairs.join(limits, "feed", "left").withColumn("at_limit", F.coalesce(at & ~F.col("response").rlike(TERMINAL), F.lit(False))).drop("_chars", "_bytes")
+
+
 def defective_pairs(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS, recall: float = RECALL) -> DataFrame:
-    """`pairs` (key columns, system, user, response) with `candidates`, the labels flagged, and `defect`, the verdict; only defects."""
+    """`pairs` (key columns, system, user, response, at_limit if known) with `candidates`, the labels flagged, and `defect`, the verdict; only defects."""
     spark = pairs.sparkSession
-    key = [c for c in pairs.columns if c not in ("system", "user", "response")]
+    if "at_limit" not in pairs.columns:
+        pairs = pairs.withColumn("at_limit", F.lit(False))
+    key = [c for c in pairs.columns if c not in ("system", "user", "response", "at_limit")]
     sample = (
         pairs.select("system", "user", "response").withColumn("h", F.xxhash64("system", "user", "response")).orderBy("h", "user", "response").limit(train_pairs).drop("h").collect()
     )  # the one bounded sample: it trains the model and nothing else
@@ -215,26 +228,26 @@ def defective_pairs(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS, recall: fl
         w, cut = model.value
         for b in batches:
             names, verdicts = [], []
-            for s, u, r in zip(b["system"], b["user"], b["response"]):
+            for s, u, r, at in zip(b["system"], b["user"], b["response"], b["at_limit"]):
                 idx, val = features(s, u, r)
                 hit = np.flatnonzero(val @ w[idx] >= cut)
                 names.append(",".join(DEFECTS[j] for j in hit))
-                verdicts.append(defect_of(s, u, r) if len(hit) or len(r or "") > LONG else None)
+                verdicts.append(defect_of(s, u, r, bool(at)) if len(hit) or at or len(r or "") > LONG else None)
             out = b[key].assign(candidates=names, defect=verdicts)
             yield out[out["defect"].notna()]
 
     schema = T.StructType([f for f in pairs.schema.fields if f.name in key] + [T.StructField("candidates", T.StringType()), T.StructField("defect", T.StringType())])
-    return pairs.select(*key, "system", "user", "response").mapInPandas(score, schema)
+    return pairs.select(*key, "system", "user", "response", "at_limit").mapInPandas(score, schema)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defective_pairs(pair_rows(table(spark, sf_dir, "llm_stages"))).select("stage_id", "defect").distinct()
+    return defective_pairs(with_limits(pair_rows(table(spark, sf_dir, "llm_stages")))).select("stage_id", "defect").distinct()
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs per feed and defect, with their share of the feed's pairs."""
     rows = pair_rows(table(spark, sf_dir, "llm_stages"))
-    bad = defective_pairs(rows).groupBy("feed", "defect").agg(F.count(F.lit(1)).alias("n_defective"))
+    bad = defective_pairs(with_limits(rows)).groupBy("feed", "defect").agg(F.count(F.lit(1)).alias("n_defective"))
     n = table(spark, sf_dir, "llm_stages").groupBy("feed").agg(F.count(F.lit(1)).alias("n_pairs"))
     return bad.join(n, "feed").withColumn("share", F.round(F.col("n_defective") / F.col("n_pairs"), 6))
 

@@ -29,6 +29,8 @@ from driftloom.sources.tables import table
 
 #: A spike: at least this many values, and this many times the mean of so many lengths beside it.
 MIN_VALUES, FACTOR, NEIGHBOURS = 5, 8.0, 64
+#: Terminal punctuation at the end of a value.
+TERMINAL = r"[.!?…][)\]}\"'»”*_]*\s*$"
 
 
 @F.pandas_udf(T.StringType())
@@ -77,7 +79,7 @@ def truncated_values(values: DataFrame, source: str, column: str, record: str, t
     byte_limits = spikes.filter("unit = 'bytes'").select(column, source, F.col("length").alias("n_bytes"), F.lit(True).alias("at_bytes"))
     rows = values.filter(F.col(text).isNotNull()).select(
         column, source, record, F.char_length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), cut_kind_udf(F.col(text)).alias("cut"),
-        F.col(text).rlike(r"[.!?…][)\]}\"'»”*_]*\s*$").alias("terminal"),
+        F.col(text).rlike(TERMINAL).alias("terminal"),
     )
     at = F.when(F.col("at_chars"), "chars").when(F.col("at_bytes"), "bytes")
     return (

@@ -4,7 +4,7 @@ import pytest
 
 from driftloom.llm.defects import defect_of, is_copy, is_empty, is_refusal
 from driftloom.llm.languages import language_named, language_of
-from driftloom.llm.pairs import DEFECTS, _slot, defective_pairs, features, p6_found, pair_rows, train, training_set
+from driftloom.llm.pairs import DEFECTS, _slot, defective_pairs, features, p6_found, pair_rows, train, training_set, with_limits
 from driftloom.sources.tables import table
 
 ASK = "Explain how the parser works and what it must check before the next run."
@@ -56,6 +56,14 @@ def test_features_see_whole_texts():
     assert _slot("e ?") in slots("word " * 1000 + "ends here ?") and 19 in slots("word " * 1000 + "zebra.")
 
 
+def test_style_at_a_field_limit_is_truncated(spark):
+    at = "- one thing is read by the parser\n- the " + "parser checks the file and " * 6
+    rows = [(i, "a" if i < 20 else "b", "", ASK, at[:200]) for i in range(21)]
+    rows += [(100 + i, "a", "", ASK, "The parser reads the file " + "and checks it " * (i // 14) + "w" * (i % 14) + ".") for i in range(60, 300)]
+    pairs = spark.createDataFrame(rows, "id long, feed string, system string, user string, response string")
+    assert {(r.id, r.defect) for r in defective_pairs(with_limits(pairs)).filter("id < 100").collect()} == {(i, "truncated") for i in range(20)}
+
+
 def test_languages():
     assert language_of("Der Parser liest die Datei und gibt sie zurück.") == "de"
     assert language_of("`code` 12") is None and language_of(None) is None
