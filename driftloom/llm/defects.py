@@ -1,11 +1,11 @@
-"""The exact checks behind the defect types of prompt and response pairs."""
+"""What makes a response empty, a copy or foreign: exact tests that the pair features are made of."""
 
 from __future__ import annotations
 
 import json
 import re
 
-from driftloom.llm.endings import BLANK, cut_kind, is_cut, strip
+from driftloom.llm.endings import BLANK, strip
 from driftloom.llm.languages import language_named, language_of
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
@@ -89,60 +89,6 @@ def is_empty(text: str | None) -> bool:
     return False
 
 
-_DO_EN = r"(?:help|assist|answer|describ\w*|writ\w+|review\w*|judg\w*|comment\w*|produc\w*|document\w*|provid\w*|complet\w*|discuss\w*|generat\w*|fulfil\w*|respond\w*|compl(?:y|ies)|continu\w*|translat\w*|explain\w*|do (?:this|that|so)|support|share|verify|check this|process this|perform)"
-_REFUSALS = [
-    re.compile(p, re.I)
-    for p in (
-        rf"\bI(?:'m| am)?\b[^.;]{{0,40}}\b(?:can(?:no|')t|can not|cannot|won(?:')?t|will not|unable to|not able to|be able to|not permitted to|not allowed to|rather not|decline to|refuse to|must decline|have to decline|pass on)\b.{{0,40}}?\b{_DO_EN}",
-        r"\bI\b[^.]{0,30}\b(?:must|have to|will have to|need to) (?:decline|refuse|pass on)\b",
-        r"\b(?:my|our|the) (?:polic(?:y|ies)|guidelines?|rules?|instructions?) (?:do(?:es)? not|don't|doesn't|forbids?|prohibits?|prevents?)\b.{0,20}\b(?:permit|allow|let|answer\w*|me|us)\b",
-        r"\b(?:request|question|task) (?:goes|is) against (?:my|our) (?:guidelines?|polic(?:y|ies)|rules?)\b",
-        r"^(?:sorry|apologies)\W+no\b",
-        r"\bno (?:documentation|answer|text) will be (?:produced|given|written)\b",
-        # German
-        r"\b(?:kann|darf|werde|m\u00f6chte|will|k\u00f6nnte)\b(?=.*\bich\b).{0,80}\bnicht(?:s)?\b.{0,80}\b(?:helfen|beantworten|schreiben|beurteilen|beschreiben|pr\u00fcfen|weiterhelfen|dokumentieren|liefern|erf\u00fcllen|bearbeiten|kommentieren|erkl\u00e4ren|bewerten|\u00fcbersetzen|erstellen|sagen)\b",
-        r"\bich\b.{0,30}\bmuss\b.{0,80}\b(?:ablehnen|verweigern)\b|\bmuss ich\b.{0,80}\b(?:ablehnen|verweigern)\b|\bich lehne\b.{0,80}\bab\b",
-        r"\bbin ich nicht in der Lage\b|\bich bin nicht in der Lage\b|\bist mir nicht (?:erlaubt|gestattet)\b",
-        # Russian
-        r"(?:\u044f\b.{0,30}\b|\b\u043c\u043d\u0435\b.{0,10}|^[^.]{0,40})(?:\u043d\u0435 (?:\u043c\u043e\u0433\u0443|\u0441\u0442\u0430\u043d\u0443|\u0431\u0443\u0434\u0443)|\u043d\u0435\u043b\u044c\u0437\u044f)\b.{0,40}\b(?:\u043f\u043e\u043c\u043e\u0447\u044c|\u043f\u0438\u0441\u0430\u0442\u044c|\u043e\u0446\u0435\u043d\u0438\u0432\u0430\u0442\u044c|\u043e\u043f\u0438\u0441\u044b\u0432\u0430\u0442\u044c|\u043e\u043f\u0438\u0441\u0430\u0442\u044c|\u043f\u0440\u043e\u0432\u0435\u0440\u0438\u0442\u044c|\u043f\u0440\u043e\u0432\u0435\u0440\u044f\u0442\u044c|\u043e\u0442\u0432\u0435\u0442\u0438\u0442\u044c|\u043e\u0442\u0432\u0435\u0447\u0430\u0442\u044c|\u043d\u0430\u043f\u0438\u0441\u0430\u0442\u044c|\u0432\u044b\u043f\u043e\u043b\u043d\u0438\u0442\u044c|\u043a\u043e\u043c\u043c\u0435\u043d\u0442\u0438\u0440\u043e\u0432\u0430\u0442\u044c|\u043e\u0431\u044a\u044f\u0441\u043d\u0438\u0442\u044c|\u043e\u0446\u0435\u043d\u0438\u0442\u044c|\u043f\u0435\u0440\u0435\u0432\u043e\u0434\u0438\u0442\u044c)\b",
-        r"\u0432\u044b\u043d\u0443\u0436\u0434\u0435\u043d\w* \u043e\u0442\u043a\u0430\u0437\u0430\u0442\u044c\u0441\u044f|\u043e\u0442\u043a\u0430\u0437\u044b\u0432\u0430\u044e\u0441\u044c|\u043d\u0435 \u043f\u043e\u0437\u0432\u043e\u043b\u044f\w+ \u043c\u043d\u0435",
-    )
-]
-_REFERRALS = re.compile(
-    r"^(?:you (?:could|can|may|might|should)\b|please\b|bitte\b|try\b|feel free\b|if you\b|let me know|sorry\b|apologies\b|thank|es tut mir leid|leider\b|entschuldig"
-    r"|\u043e\u0431\u0440\u0430\u0442\u0438\u0442\u0435\u0441\u044c|\u043f\u043e\u043f\u0440\u043e\u0431\u0443\u0439\u0442\u0435|\u043f\u043e\u0436\u0430\u043b\u0443\u0439\u0441\u0442\u0430|\u0441\u043f\u0440\u043e\u0441\u0438\u0442\u0435|\u0438\u0437\u0432\u0438\u043d\u0438\u0442\u0435|\u043a \u0441\u043e\u0436\u0430\u043b\u0435\u043d\u0438\u044e|\u0441\u043f\u0430\u0441\u0438\u0431\u043e|\u0432\u044b \u043c\u043e\u0436\u0435\u0442\u0435|wende dich|wenden sie|du kannst|sie k\u00f6nnen|frag)",
-    re.I,
-)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
-
-def declines(sentence: str) -> bool:
-    return any(p.search(sentence) for p in _REFUSALS)
-
-
-def is_refusal(text: str | None) -> bool:
-    """Declines the task in every sentence that is not a referral elsewhere, so that no answer is left."""
-    if text is None:
-        return False
-    t = strip(text)
-    m = _FENCED.match(t)
-    if m:
-        t = strip(m.group(1))
-    if t[:1] in "{[":
-        try:
-            t = " ".join(s for s in _leaves(t) if isinstance(s, str))
-        except ValueError:
-            return False
-    declined = False
-    for s in _SENTENCE.split(strip(t).strip("\"'")):
-        if s.strip():
-            if declines(s):
-                declined = True
-            elif not _REFERRALS.match(s.strip("\"'> ")):
-                return False
-    return declined
-
-
 _NOT_LETTERS = re.compile(r"[\W_]+")
 
 
@@ -150,12 +96,18 @@ def _letters(text: str) -> str:
     return _NOT_LETTERS.sub("", text.casefold())
 
 
-def is_copy(user: str | None, response: str | None, lead_in: int = 60) -> bool:
-    """The response is the user message but for case, white space, quoting and a lead-in of at most `lead_in` letters."""
+def copy_lead(user: str | None, response: str | None) -> int | None:
+    """How many letters stand before the user message, where the response ends with it but for case, white space and quoting."""
     if not user or not response:
-        return False
+        return None
     u, r = _letters(user), _letters(response)
-    return bool(u) and len(u) <= len(r) <= len(u) + lead_in and r.endswith(u)
+    return len(r) - len(u) if u and r.endswith(u) else None
+
+
+def is_copy(user: str | None, response: str | None, lead_in: int = 60) -> bool:
+    """The response is the user message with a lead-in of at most `lead_in` letters."""
+    lead = copy_lead(user, response)
+    return lead is not None and lead <= lead_in
 
 
 def without_echo(user: str | None, response: str) -> str:
@@ -171,17 +123,3 @@ def without_echo(user: str | None, response: str) -> str:
 def asked_language(system: str | None, user: str | None) -> str | None:
     """The language the user message names, else the one the system message names, else that of the user message."""
     return language_named(user) or language_named(system) or language_of(user)
-
-
-def defect_of(system: str | None, user: str | None, response: str | None, at_limit: bool = False) -> str | None:
-    """The first defect of the fixed order that the pair has, or None; at a field limit, endings that style alone excuses are cut."""
-    if is_empty(response):
-        return "empty"
-    if is_refusal(response):
-        return "refusal"
-    if is_copy(user, response):
-        return "copy"
-    if is_cut(response) or at_limit and cut_kind(response):
-        return "truncated"
-    asked, given = asked_language(system, user), language_of(without_echo(user, response))
-    return "other_language" if asked and given and asked != given else None

@@ -1,29 +1,33 @@
-"""Broken prompt and response pairs, by a multi-label linear classifier and an exact check of what it flags.
-
-A logistic model per defect is trained on hashed n-grams of the response's head and tail and on features of the pair
-(length ratio, overlap of the two texts, language asked for and given, open quotes, fences and brackets).  Its training
-pairs are made from the table itself: a bounded sample of sound pairs (`train_pairs`) whose responses are truncated at
-random, replaced by the prompt in the ways copies come, swapped with a response in another language, replaced by
-composed refusals, or emptied.  On held-out pairs each label's threshold is set to keep `recall` of its positives.
-Pairs above a threshold are then decided by the exact rules of `defects`, in the fixed order of the defect types, and so
-are all responses of more than `LONG` characters, as the made refusals and empty responses are shorter, and those that have
-the length of a field limit (`with_limits`).
+"""Broken prompt and response pairs, by a multi-label linear classifier with calibrated thresholds.
+
+A logistic model per defect is trained on hashed n-grams of the whole response and on features of the pair: how the
+ending is built, how much of the prompt the response repeats and how many letters it adds, which language was asked
+for and given.  Its training pairs are made from the table itself: a bounded sample of sound pairs (`train_pairs`)
+whose responses are truncated at random, replaced by the prompt in the ways copies come, swapped with a response in
+another language, or replaced by composed refusals (`refusals`).  Refusals among the sampled pairs are not known at first:
+a first fit takes only answers of many sentences and sentences out of them for sound, and the shorter ones it holds for refusals
+are left out of the second, so no written-out rule decides what a sound pair is.  Each label's threshold is the
+one with the best F1 on held-out pairs, halfway between the scores beside it; held-out refusals are composed of wordings
+the fit has not seen.  A pair's verdict is the first label of the fixed order whose score reaches its threshold; `empty`
+is an exact test, since an empty response has nothing to classify.
 
 Defined results: a null response, a null response struct and a blank one are `empty`; a pair without a user message can
 only be empty, a refusal or truncated; null messages and null roles are skipped; repeated rows give the same verdict; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; features are taken over whole texts and averaged, so the
+verdict does not depend on the length.
 
-Scale: the model is at most DIMS x 5 numbers whatever the input; scoring is one pass in Arrow batches without a shuffle; the field
+Scale: the model is at most DIMS x 4 numbers whatever the input; scoring is one pass in Arrow batches without a shuffle; the field
 limits are a small table made from a histogram of lengths.
 The sample that trains it is bounded by `train_pairs`; everything else covers all rows.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,104 +36,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.defects import DEFECTS, asked_language, defect_of, without_echo
-from driftloom.llm.endings import export_mark, json_open, sentence_done, strip
+from driftloom.llm import refusals
+from driftloom.llm.defects import DEFECTS, asked_language, copy_lead, is_empty, without_echo
+from driftloom.llm.endings import cut_kind, strip
 from driftloom.llm.languages import language_of
 from driftloom.llm.truncation import TERMINAL, field_limits
 from driftloom.sources.tables import table
 
 DIMS = 1 << 15
 TRAIN_PAIRS = 1200
-RECALL = 0.999
-#: The defects made for training have shorter responses than this; longer ones are all decided by the exact rules.
-LONG = 1000
-_TOKEN = re.compile(r"`[^`\n]*`?|[^\W_]+|[^\w\s]")
-_OPENERS = ["", "I'm sorry, but ", "Sorry, ", "Unfortunately, ", "Apologies, ", "Thank you, but ", "Having seen the request, ", "Thanks for asking, yet "]
-_REFUSALS = {
-    "en": (_OPENERS, ["I can't ", "I cannot ", "I am unable to ", "I won't ", "I'm not allowed to ", "I must decline to ", "I would rather not "], ["help with this", "answer this question", "describe this code", "write this text", "review the file", "comment on that"], ["", " under my guidelines", " because it may reveal private data", ", as my policy forbids it"], "Please ask the maintainers."),
-    "de": (["", "Leider ", "Tut mir leid, "], ["kann ich ", "darf ich ", "werde ich "], ["dabei nicht helfen", "diese Frage nicht beantworten", "den Code nicht beschreiben", "dazu nichts schreiben", "die Datei nicht prüfen"], ["", ", weil es den Regeln widerspricht"], "Bitte frage das Team."),
-    "ru": (["", "К сожалению, ", "Извините, "], ["я не могу ", "мне нельзя ", "я не стану "], ["помочь с этим", "ответить на вопрос", "описывать код", "писать такой текст"], ["", ", это против правил"], "Обратитесь к команде."),
-}
-_PLAIN = [
-    "Sorry, no.", "Sorry, no. Ask a colleague instead.", "This task is against my rules, so nothing will be written.", "My policy does not allow me to answer.", "Our guidelines do not let me do this.", "As an AI I have to refuse.",
-    "Als KI bin ich dazu nicht in der Lage.", "Das muss ich ablehnen.", "Правила мне этого не позволяют.", "Я вынужден отказаться от ответа.", "Как модель я не могу это проверить.",
-]
-_MARKS = ["", "", "", "…", "...", " [truncated]", " [cut]", " <+120 chars>", "�"]
-_FIRST_PERSON = frozenset("i my me we our ich mir mich я мне мы sorry".split())
-_NEGATION = frozenset("cannot can't won't no not unable decline refuse against rather nicht nichts kein ablehnen не нельзя отказаться".split())
-_LEADS = ["", "", "Sure: ", "Here it is: ", "Answer: ", "Of course. ", "You asked: "]
-_EMPTIES = ["", " ", "\n\n", "​", "  \t", '""', "''", "{}", "[]", '{"sections": {}}', "```\n```", "```json\n{}\n```", None]
-
-
+#: Answers of more distinct sentences than this are no refusals for the first fit.
+SEED_SENTENCES = 3
+#: The labels the classifier decides, in the order in which the earlier one wins; `empty` comes before them.
+LABELS = DEFECTS[1:]
+_TOKEN = re.compile(r"`[^`\n]*`?|[^\W_]+(?:['’][^\W_]+)?|[.!?]")
+_CODE = re.compile(r"[\w$]*(?:[a-z\d][A-Z]|[_$/.#]\w)\S*")
+_KINDS = ("marker", "json", "fence", "code", "item", "row", "sentence")
+_MARKS = ["", "", "", "", "…", "...", " [truncated]", " [cut]", " <+120 chars>", "\ufffd"]
+_LEADS = ["", "", "", "Sure: ", "Here it is: ", "Answer: ", "Of course. ", "You asked: ", "My reply to the request reads: ", "Gern, hier: ", "Antwort: ", "Вот ответ: ", "Конечно. ", "Voici : ", "Claro: "]
+_SPAN = re.compile(r"`[^`\n]+`")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+@lru_cache(1 << 17)
 def _slot(s: str) -> int:
     return 64 + xxhash.xxh32_intdigest(s) % (DIMS - 64)
 
 
-def features(system: str | None, user: str | None, response: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values; the first 64 slots are the pair's own features."""
-    r = strip(response or "")
-    u = user or ""
-    idx, val = [0], [1.0]
-
-    def put(slot: int, value: float = 1.0) -> None:
-        if value:
-            idx.append(slot)
-            val.append(value)
-
-    put(1 + min(15, int(math.log2(len(r) + 1))))
-    put(17, min(3.0, len(r) / (len(u) + 1)) / 3)
-    ru, uu = _TOKEN.findall(r.lower()), _TOKEN.findall(u.lower())
-    a, b = set(ru), set(uu)
-    both = len(a & b)
-    put(18, both / (len(a) or 1))
-    put(19, both / (len(b) or 1))
-    put(20, float(both == len(a) and both == len(b) and both > 0))
-    tail = "".join(x for x in r[-80:].casefold() if x.isalnum())
-    utail = "".join(x for x in u[-80:].casefold() if x.isalnum())
-    put(21, float(bool(tail) and tail[-24:] == utail[-24:]))
-    body = without_echo(user, r)
-    asked, given = asked_language(system, user), language_of(body)
-    put(22, float(asked is not None and given is not None and asked != given))
-    put(23, float(asked is None or given is None))
-    put(24, float(r.count("`") % 2))
-    put(25, float(r.count("```") % 2))
-    opened = r[:12].lstrip("`jsonJSON \n")[:1]
-    put(26, float(opened in "{[" and bool(opened) and r.rstrip("` \n")[-1:] not in "}]"))
-    last = r[-1:] or " "
-    put(27 + ".!?".find(last) if last in ".!?" else 30 if last.isalpha() else 31 if last.isdigit() else 32 if last in "}])" else 33 if last in "\"'`|" else 34)
-    put(35, float(not any(x.isalnum() for x in r)))
-    line = r[r.rfind("\n") + 1 :]
-    put(36, float(opened in "{[" and bool(opened) and json_open(r)))
-    put(37, float(bool(export_mark(r))))
-    put(38, float(sentence_done(line)))
-    put(39, float(line.count("`") % 2))
-    put(40, float(line[:1] in "|-*" or line[:2] == "> "))
-    put(41, float(line.endswith("|") or line.endswith("`") and line.count("`") == 2))
-    put(42, float(len(ru) < 90 and not a.isdisjoint(_FIRST_PERSON)))
-    put(43, float(len(ru) < 90 and not a.isdisjoint(_NEGATION)))
-    head = ru[:60]
-    for w in head:
-        put(_slot("h " + w), 0.12)
-    for x, y in zip(head, head[1:]):
-        put(_slot(f"h {x} {y}"), 0.12)
-    end = r[-12:]
-    for n in (2, 3, 4):
-        put(_slot("t " + re.sub(r"\d", "0", end[-n:].lower())), 0.12)
-    for w in ru[-4:]:
-        put(_slot("e " + (w if not w.isalnum() else str(min(len(w), 9)))), 0.12)
-    return np.asarray(idx, dtype=np.int32), np.asarray(val, dtype=np.float32)
-
-
-def _refusal(rng: random.Random, lang: str) -> str:
-    if rng.random() < 0.25:
-        s = rng.choice(_PLAIN)
-        return '{"error": "' + s + '"}' if rng.random() < 0.2 else s
-    opener, can, do, why, refer = _REFUSALS[lang]
-    s = rng.choice(opener) + rng.choice(can) + rng.choice(do) + rng.choice(why) + "."
-    s = s[0].upper() + s[1:]
-    if rng.random() < 0.4:
-        s += " " + refer
-    return '{"error": "' + s + '"}' if rng.random() < 0.2 else s
+def features(system: str | None, user: str | None, response: str | None, at_limit: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values; the first 64 slots are the pair's own features, the others n-grams averaged over the response."""
+    r = response or ""
+    sums: dict[int, float] = {0: 1.0}
+    # how it ends
+    kind = cut_kind(r)
+    if kind and (kind[0] != "?" or at_limit):
+        sums[1] = 3.0
+        kind = kind.lstrip("?")
+        if kind in _KINDS:
+            sums[2 + _KINDS.index(kind)] = 1.0
+    # how much of the prompt it is
+    lead = copy_lead(user, r)
+    if lead is not None:
+        sums[16] = 3.0
+        sums[17] = min(lead, 400) / 40
+    tokens = [_norm(w) for w in _TOKEN.findall(r)]
+    words = [w for w in tokens if w[0].isalnum()]
+    mine = set(words)
+    theirs = {_norm(w) for w in _TOKEN.findall(user or "")}
+    both = len(mine & theirs)
+    sums[18], sums[19] = both / (len(mine) or 1), both / (len(theirs) or 1)
+    # which language it is in
+    asked, given = asked_language(system, user), language_of(without_echo(user, strip(r)))
+    if asked and given:
+        sums[20] = 3.0 if asked != given else -3.0
+    else:
+        sums[21] = 1.0
+    # what it says
+    grams: Counter[int] = Counter()
+    for w in tokens:
+        grams[_slot(w)] += 1
+        if len(w) > 5:
+            grams[_slot("^" + w[:5])] += 1
+    for a, b in zip(tokens, tokens[1:]):
+        grams[_slot(f"{a} {b}")] += 1
+    for a, b, c in zip(tokens, tokens[1:], tokens[2:]):
+        grams[_slot(f"{a} {b} {c}")] += 1
+    share = 4.0 / (len(tokens) or 1)
+    for w in tokens[-4:]:
+        sums[_slot("e " + w)] = 0.03
+    for k, n in grams.items():
+        sums[k] = sums.get(k, 0.0) + n * share
+    return np.fromiter(sums.keys(), np.int32, len(sums)), np.fromiter(sums.values(), np.float32, len(sums))
+
+
+@lru_cache(1 << 17)
+def _norm(token: str) -> str:
+    """A token in lower case; code, names and numbers are one token each, so that a model of wordings does not learn names."""
+    if token[0] == "`" or _CODE.match(token):
+        return "`"
+    return "0" if token[0].isdigit() else token.replace("’", "'").lower()
 
 
 def _copied(rng: random.Random, user: str) -> str:
@@ -142,54 +127,125 @@ def _copied(rng: random.Random, user: str) -> str:
     return rng.choice(_LEADS) + t
 
 
-def training_set(pairs: list[tuple[str | None, str | None, str | None]], seed: int = 11) -> list[tuple[int, tuple, set[str]]]:
-    """(number of the base pair, pair, labels): sound pairs and the defects made from them."""
+def training_set(pairs: list[tuple[str | None, str | None, str | None]], seed: int = 11) -> list[tuple[int, tuple, str | None, bool]]:
+    """(number of the base pair, pair, label or None, whether the label is sure): pairs held for sound and the defects made from them.
+
+    Base pairs that are empty, cut, copies or in a language not asked for are left out; refusals among them are found by `train`.
+    """
     rng = random.Random(seed)
-    sound = [p for p in pairs if p[1] and defect_of(*p) is None]
+    sound = []
+    for s, u, r in pairs:
+        if u and not is_empty(r) and cut_kind(r) is None and copy_lead(u, r) is None:
+            asked, given = asked_language(s, u), language_of(without_echo(u, strip(r)))
+            if not (asked and given and asked != given):
+                sound.append((s, u, r))
     by_lang: dict[str | None, list[str]] = {}
     for p in sound:
         by_lang.setdefault(language_of(p[2]), []).append(p[2])
-    out = []
+    langs = sorted(x for x in by_lang if x)
+    out: list[tuple[int, tuple, str | None, bool]] = []
     for k, (system, user, response) in enumerate(sound):
-        out.append((k, (system, user, response), set()))
+        held = k % 4 == 0
+        names = _SPAN.findall(user)[:4] or ["this file"]
+        parts = [x for x in _SENTENCE.split(response) if cut_kind(x) is None and not is_empty(x)]
+        sure = len(set(parts)) > SEED_SENTENCES
+
+        def add(r: str, label: str | None, sure: bool = True) -> None:
+            out.append((k, (system, user, r), label, sure))  # noqa: B023
+
+        add(response, None, sure)
+        if len(parts) > 1:
+            add(rng.choice(parts), None, sure)
+        if k % 3 == 0:
+            add(user + "\n\n" + response, None, sure)
+        if k % 2:
+            said = refusals.fact(rng, names)
+            want, have = asked_language(system, user), language_of(said)
+            foreign = bool(want and have and want != have)
+            out.append((k, (system, user if foreign else None, said), "other_language" if foreign else None, True))
+        if k % 3 == 1 and sure:
+            add(refusals.sentence(rng, names) + " " + response, None)
         cut = response[: rng.randrange(max(1, len(response) // 8), max(2, len(response)))] + rng.choice(_MARKS)
-        if defect_of(system, user, cut) == "truncated":
-            out.append((k, (system, user, cut), {"truncated"}))
-        out.append((k, (system, user, _copied(rng, user)), {"copy"}))
-        out.append((k, (system, user, _refusal(rng, rng.choice("en en de ru".split()))), {"refusal"}))
-        out.append((k, (system, user, rng.choice(_EMPTIES)), {"empty"}))
+        if (cut_kind(cut) or "?")[0] != "?":
+            add(cut, "truncated", sure)
+        if k % 4 in (0, 2):  # a list without final marks is a style, but at a field limit it is cut
+            style = "\n".join("- " + x.replace("\n", " ").rstrip(".!?") for x in (parts[:6] if len(parts) > 1 else [rng.choice(sound)[2], response]))
+            if cut_kind(style) == "?item":
+                add(style, None, sure)
+                out.append((k, (system, user, style, True), "truncated", sure))
+        add(_copied(rng, user), "copy")
+        for _ in range(2):
+            add(refusals.compose(rng, names, held), "refusal")
         asked = asked_language(system, user)
-        others = [x for x in ("en", "de", "ru") if x != asked and by_lang.get(x)]
+        others = [x for x in langs if x != asked]
         if asked and others:
-            swapped = (system, user, rng.choice(by_lang[rng.choice(others)]))
-            if defect_of(*swapped) == "other_language":
-                out.append((k, swapped, {"other_language"}))
+            add(rng.choice(by_lang[rng.choice(others)]), "other_language", False)
     return out
 
 
-def train(samples: list[tuple[int, tuple, set[str]]], recall: float = RECALL, epochs: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (DIMS, labels) by Adagrad, and per label the threshold that keeps `recall` of held-out positives."""
-    w = np.zeros((DIMS, len(DEFECTS)), dtype=np.float32)
-    g = np.full((DIMS, len(DEFECTS)), 1e-2, dtype=np.float32)
-    data = [(k, *features(*pair), np.asarray([d in labels for d in DEFECTS], dtype=np.float32)) for k, pair, labels in samples]
-    fit = [x for x in data if x[0] % 4]
-    held = [x for x in data if x[0] % 4 == 0] or fit
-    order = list(range(len(fit)))
+def _fit(data: list[tuple], epochs: int, seed: int) -> np.ndarray:
+    """Weights (DIMS, labels) by Adagrad; a defect says nothing about the labels after it, as the earlier one wins."""
+    w = np.zeros((DIMS, len(LABELS)), dtype=np.float32)
+    g = np.full((DIMS, len(LABELS)), 1e-2, dtype=np.float32)
+    order = list(range(len(data)))
     rng = random.Random(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
-            _, idx, val, y = fit[i]
+            idx, val, y, known = data[i]
             p = 1 / (1 + np.exp(-np.clip(val @ w[idx], -30, 30)))
-            grad = val[:, None] * (p - y)[None, :]
+            grad = val[:, None] * ((p - y) * known)[None, :]
             g[idx] += grad * grad
             w[idx] -= 0.3 * grad / np.sqrt(g[idx])
-    cut = np.zeros(len(DEFECTS), dtype=np.float32)
-    for j in range(len(DEFECTS)):
-        scores = np.sort([float(val @ w[idx, j]) for _, idx, val, y in held if y[j]])
-        # the calibrated threshold, never above even odds, with a margin for forms the sample does not hold
-        cut[j] = min(-1.0, scores[int((1 - recall) * len(scores))] if len(scores) else 0.0) - 1.0
-    return w, cut
+    return w
+
+
+def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """The threshold with the best F1 between the scores of a label's positives and of its negatives; the middle of the best stretch."""
+    if not len(good):
+        return np.inf
+    scores = np.concatenate([good, bad])
+    truth = np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+    order = np.argsort(-scores, kind="stable")
+    scores, truth = scores[order], truth[order]
+    hit = np.cumsum(truth)
+    f1 = 2 * hit / (np.arange(1, len(scores) + 1) + len(good))
+    f1[:-1][scores[:-1] == scores[1:]] = -1  # no threshold falls between equal scores
+    best = int(np.argmax(f1))
+    below = scores[best + 1] if best + 1 < len(scores) else scores[best] - 2.0
+    return float((scores[best] + below) / 2)
+
+
+def train(samples: list[tuple[int, tuple, str | None, bool]], epochs: int = 5, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (DIMS, labels) and a calibrated threshold per label."""
+    data = []
+    for k, pair, label, sure in samples:
+        j = LABELS.index(label) if label else len(LABELS)
+        y = np.asarray([i == j for i in range(len(LABELS))], dtype=np.float32)
+        known = np.asarray([i <= j for i in range(len(LABELS))], dtype=np.float32)
+        data.append((k, *features(*pair), y, known, sure))
+    if not data:
+        return np.zeros((DIMS, len(LABELS)), dtype=np.float32), np.full(len(LABELS), np.inf)
+    refused = LABELS.index("refusal")
+    first = _fit([x[1:5] for x in data if x[5]] or [x[1:5] for x in data], 3, seed)
+    clean = [x for x in data if x[5] or float(x[2] @ first[x[1], refused]) < 0]
+    w = _fit([x[1:5] for x in clean if x[0] % 4] or [x[1:5] for x in clean], epochs, seed)
+    held = [x for x in clean if x[0] % 4 == 0] or clean
+    cuts = []
+    for j in range(len(LABELS)):
+        scored = [(float(val @ w[idx, j]), y[j]) for _, idx, val, y, known, _ in held if known[j]]
+        cuts.append(_threshold(np.asarray([s for s, y in scored if y]), np.asarray([s for s, y in scored if not y])))
+    return w, np.asarray(cuts)
+
+
+def verdict(model: tuple[np.ndarray, np.ndarray], system: str | None, user: str | None, response: str | None, at_limit: bool = False) -> str | None:
+    """The first defect of the fixed order that the pair has, or None."""
+    if is_empty(response):
+        return "empty"
+    w, cut = model
+    idx, val = features(system, user, response, at_limit)
+    hit = np.flatnonzero(val @ w[idx] >= cut)
+    return LABELS[hit[0]] if len(hit) else None
 
 
 def pair_rows(stages: DataFrame) -> DataFrame:
@@ -212,31 +268,28 @@ def with_limits(pairs: DataFrame) -> DataFrame:
     return pairs.join(limits, "feed", "left").withColumn("at_limit", F.coalesce(at & ~F.col("response").rlike(TERMINAL), F.lit(False))).drop("_chars", "_bytes")
 
 
-def defective_pairs(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS, recall: float = RECALL) -> DataFrame:
-    """`pairs` (key columns, system, user, response, at_limit if known) with `candidates`, the labels flagged, and `defect`, the verdict; only defects."""
-    spark = pairs.sparkSession
-    if "at_limit" not in pairs.columns:
-        pairs = pairs.withColumn("at_limit", F.lit(False))
-    key = [c for c in pairs.columns if c not in ("system", "user", "response", "at_limit")]
+def fitted(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """The model trained on a sample of `train_pairs` rows, chosen by their hash."""
     sample = (
         pairs.select("system", "user", "response").withColumn("h", F.xxhash64("system", "user", "response")).orderBy("h", "user", "response").limit(train_pairs).drop("h").collect()
     )  # the one bounded sample: it trains the model and nothing else
-    w, cut = train(training_set([tuple(r) for r in sample]), recall)
-    model = spark.sparkContext.broadcast((w, cut))
+    return train(training_set([tuple(r) for r in sample]))
+
+
+def defective_pairs(pairs: DataFrame, train_pairs: int = TRAIN_PAIRS, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """`pairs` (key columns, system, user, response, at_limit if known) with `defect`, the verdict of the classifier; only defects."""
+    if "at_limit" not in pairs.columns:
+        pairs = pairs.withColumn("at_limit", F.lit(False))
+    key = [c for c in pairs.columns if c not in ("system", "user", "response", "at_limit")]
+    shared = pairs.sparkSession.sparkContext.broadcast(model or fitted(pairs, train_pairs))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, cut = model.value
         for b in batches:
-            names, verdicts = [], []
-            for s, u, r, at in zip(b["system"], b["user"], b["response"], b["at_limit"]):
-                idx, val = features(s, u, r)
-                hit = np.flatnonzero(val @ w[idx] >= cut)
-                names.append(",".join(DEFECTS[j] for j in hit))
-                verdicts.append(defect_of(s, u, r, bool(at)) if len(hit) or at or len(r or "") > LONG else None)
-            out = b[key].assign(candidates=names, defect=verdicts)
+            verdicts = [verdict(shared.value, s, u, r, bool(at)) for s, u, r, at in zip(b["system"], b["user"], b["response"], b["at_limit"])]
+            out = b[key].assign(defect=verdicts)
             yield out[out["defect"].notna()]
 
-    schema = T.StructType([f for f in pairs.schema.fields if f.name in key] + [T.StructField("candidates", T.StringType()), T.StructField("defect", T.StringType())])
+    schema = T.StructType([f for f in pairs.schema.fields if f.name in key] + [T.StructField("defect", T.StringType())])
     return pairs.select(*key, "system", "user", "response", "at_limit").mapInPandas(score, schema)
 
 

@@ -2,10 +2,11 @@ import random
 
 import pytest
 
-from driftloom.llm.defects import defect_of, is_copy, is_empty, is_refusal
+from driftloom.llm.defects import DEFECTS, copy_lead, is_copy, is_empty
 from driftloom.llm.languages import language_named, language_of
-from driftloom.llm.pairs import DEFECTS, _slot, defective_pairs, features, p6_found, pair_rows, train, training_set, with_limits
+from driftloom.llm.pairs import _slot, defective_pairs, features, p6_found, pair_rows, train, training_set, verdict, with_limits
 from driftloom.sources.tables import table
+from pair_rules import defect_of, is_refusal
 
 ASK = "Explain how the parser works and what it must check before the next run."
 
@@ -31,6 +32,7 @@ def test_answers_are_no_refusals(text):
 
 
 def test_copies():
+    assert copy_lead(ASK, "Sure: " + ASK) == 4 and copy_lead(ASK, ASK + " x") is None
     for c in (ASK, ASK.upper(), "> " + ASK, f'"{ASK}"', "Sure: " + ASK, ASK.replace(" ", "\n")):
         assert is_copy(ASK, c)
     assert not is_copy(ASK, ASK + " The parser reads the file and returns it to its caller.")
@@ -82,20 +84,46 @@ def _rows(spark, data):
     return [tuple(r) for r in pair_rows(table(spark, data, "llm_stages")).select("system", "user", "response").collect()]
 
 
-def test_held_out_recall_and_precision(spark, data):
-    rows = _rows(spark, data.replace("sf0.001", "sf0.01"))
+@pytest.fixture(scope="module")
+def split(spark, data):
+    """A model of half of the larger table's pairs, and the other half."""
+    rows = _rows(spark, data.replace("sf0.001", "sf0.1"))
     random.Random(0).shuffle(rows)
     half = len(rows) // 2
-    w, cut = train(training_set(rows[:half]))
-    n = {"flagged": 0, "bad": 0, "missed": 0}
-    for r in rows[half:]:
-        idx, val = features(*r)
-        hit = (val @ w[idx] >= cut).any()
-        bad = defect_of(*r) is not None
-        n["flagged"] += hit
-        n["bad"] += bad
-        n["missed"] += bad and not hit
-    assert n["bad"] > 20 and n["missed"] <= 0.03 * n["bad"] and n["flagged"] < 0.6 * half
+    return train(training_set(rows[:1200])), rows[half:]
+
+
+def test_held_out_recall_and_precision(split):
+    """The classifier against the written-out rules of `pair_rules`, which it does not know."""
+    model, rows = split
+    for label in DEFECTS:
+        both = found = true = 0
+        for r in rows:
+            got, want = verdict(model, *r) == label, defect_of(*r) == label
+            both, found, true = both + (got and want), found + got, true + want
+        assert true > 30 and both >= 0.95 * true and both >= 0.95 * found, (label, true, found, both)
+
+
+UNSEEN = [
+    "That is beyond my remit; ask the owners.", "This isn't something I'm comfortable with.", "I can't engage with that topic.", "Not possible, my guidelines rule this out.",
+    "I'm going to sit this one out, sorry.", "We are unable to process requests of this kind.", "Dazu kann ich keine Angaben machen.", "Ich bin nicht dazu berechtigt, darüber zu sprechen.",
+    "Эту задачу я выполнять не буду.", "Je ne peux malheureusement pas traiter cette demande.", "Lo siento, pero no me corresponde hacerlo.", "Przepraszam, nie mogę w tym pomóc.",
+]
+
+
+def test_refusals_in_words_that_training_lacks(split):
+    model, rows = split
+    user = next(r[1] for r in rows if r[1])
+    assert sum(verdict(model, "", user, x) == "refusal" for x in UNSEEN) >= 0.9 * len(UNSEEN)
+    answers = ["The guard refuses requests without a lease.", "This helper can't be called twice.", "I cannot see any caller, so only the path matters. The parser reads it and keeps it sorted.", "Der Parser darf die Datei nicht zweimal lesen."]
+    assert not any(verdict(model, "", None, x) == "refusal" for x in answers)
+
+
+def test_other_languages(split):
+    model, _ = split
+    french = "Le lecteur ouvre le fichier et vérifie les lignes avant de les rendre à la fonction."
+    assert language_of(french) == "fr" and language_of("El lector abre el archivo y comprueba las líneas.") == "es"
+    assert verdict(model, "", ASK, french) == "other_language" and verdict(model, "Answer in French.", ASK, french) is None
 
 
 def test_operator_on_odd_tables(spark, data):
