@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 from driftloom.llm.endings import BLANK, strip
 from driftloom.llm.languages import language_named, language_of
@@ -79,7 +80,7 @@ def is_empty(text: str | None) -> bool:
     m = _FENCED.match(t)
     if m:
         t = strip(m.group(1))
-    if not _NOTHING.sub("", t):
+    if not t or _NOTHING.fullmatch(t):
         return True
     if t[0] in "{[":
         try:
@@ -100,6 +101,10 @@ def copy_lead(user: str | None, response: str | None) -> int | None:
     """How many letters stand before the user message, where the response ends with it but for case, white space and quoting."""
     if not user or not response:
         return None
+    a, b = _letters(user[-200:]), _letters(response[-200:])
+    n = min(len(a), len(b))
+    if n and a[-n:] != b[-n:]:
+        return None  # the last letters tell most pairs apart without a pass over whole texts
     u, r = _letters(user), _letters(response)
     return len(r) - len(u) if u and r.endswith(u) else None
 
@@ -120,6 +125,9 @@ def without_echo(user: str | None, response: str) -> str:
     return response
 
 
+_named_once = lru_cache(1024)(language_named)  # system messages repeat
+
+
 def asked_language(system: str | None, user: str | None) -> str | None:
     """The language the user message names, else the one the system message names, else that of the user message."""
-    return language_named(user) or language_named(system) or language_of(user)
+    return language_named(user) or _named_once(system) or language_of(user)

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -92,21 +91,19 @@ def features(system: str | None, user: str | None, response: str | None, at_limi
     else:
         sums[21] = 1.0
     # what it says
-    grams: Counter[int] = Counter()
-    for w in tokens:
-        grams[_slot(w)] += 1
-        if len(w) > 5:
-            grams[_slot("^" + w[:5])] += 1
-    for a, b in zip(tokens, tokens[1:]):
-        grams[_slot(f"{a} {b}")] += 1
-    for a, b, c in zip(tokens, tokens[1:], tokens[2:]):
-        grams[_slot(f"{a} {b} {c}")] += 1
-    share = 4.0 / (len(tokens) or 1)
     for w in tokens[-4:]:
         sums[_slot("e " + w)] = 0.03
-    for k, n in grams.items():
-        sums[k] = sums.get(k, 0.0) + n * share
-    return np.fromiter(sums.keys(), np.int32, len(sums)), np.fromiter(sums.values(), np.float32, len(sums))
+    one = np.fromiter((_slot(w) for w in tokens), np.int64, len(tokens))
+    stems = np.fromiter((_slot("^" + w[:5]) for w in tokens if len(w) > 5), np.int64)
+    two = _mix(one[:-1], one[1:])
+    slots, counts = np.unique(np.concatenate([one, stems, two, _mix(two[:-1], one[2:])]), return_counts=True)
+    idx = np.concatenate([np.fromiter(sums.keys(), np.int64, len(sums)), slots])
+    return idx, np.concatenate([np.fromiter(sums.values(), np.float32, len(sums)), (counts * (4.0 / (len(tokens) or 1))).astype(np.float32)])
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Slots of the n-grams that end a word after those of `a`."""
+    return 64 + (a * 40503 + b * 30011) % (DIMS - 64)
 
 
 @lru_cache(1 << 17)
