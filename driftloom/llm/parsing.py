@@ -5,7 +5,8 @@ does not, the furthest position any rule reached is reported with its line, and
 there, a text that stops too early, or other syntax.
 
 Defined results: a null source is no case; an empty ts or js file parses, an empty json file does not; files of other
-extensions are left out; a file nested too deeply to be decided is taken to parse; repeated files each give a row; an
+extensions are left out; a file nested so deeply (about 150,000 brackets in each other) that it cannot be decided is no failure
+but has the cause `undecided`; repeated files each give a row; an
 empty table gives an empty result.
 
 Scale: one pass over each file where it is read, linear in its length; only the rows of the report are shuffled.
@@ -13,7 +14,6 @@ Scale: one pass over each file where it is read, linear in its length; only the
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.grammars import cause_of, failure
+from driftloom.syntax.grammars import UNDECIDED, cause_of, failure
 from driftloom.sources.tables import table
 
 LANGUAGES = ("ts", "js", "json")
-RECURSION = 60_000
 
 
 def language_of_path(path: Column) -> Column:
@@ -33,14 +32,14 @@ def language_of_path(path: Column) -> Column:
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(RECURSION)
     for b in batches:
         at, line, cause = [], [], []
         for lang, text in zip(b.column("language").to_pylist(), b.column("source").to_pylist()):
             f = failure(text, lang)
-            at.append(f)
-            line.append(None if f is None else text.count("\n", 0, f) + 1)
-            cause.append(None if f is None else cause_of(text, f))
+            known = f is not None and f != UNDECIDED
+            at.append(f if known else None)
+            line.append(text.count("\n", 0, f) + 1 if known else None)
+            cause.append(cause_of(text, f) if known else f if f is None else "undecided")
         yield pa.record_batch([b.column("file_id"), b.column("repo"), b.column("language"), pa.array(at, pa.int32()), pa.array(line, pa.int32()), pa.array(cause, pa.string())], names=["file_id", "repo", "language", "failed_at", "line", "cause"])
 
 
@@ -60,8 +59,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where and why each file fails."""
-    return parse_files(table(spark, sf_dir, "source_files")).filter("failed_at IS NOT NULL").distinct()
+    """Where and why each file fails, and the files that could not be decided."""
+    return parse_files(table(spark, sf_dir, "source_files")).filter("cause IS NOT NULL").distinct()
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +68,7 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("cause")
     return (
         parse_files(table(spark, sf_dir, "source_files")).groupBy("repo", "language")
-        .agg(F.count(F.lit(1)).alias("n_files"), F.count("cause").alias("n_failed"), *[F.count_if(c == k).alias(f"n_{k}") for k in ("conflict", "end", "syntax")])
+        .agg(F.count(F.lit(1)).alias("n_files"), F.count("failed_at").alias("n_failed"), *[F.count_if(c == k).alias(f"n_{k}") for k in ("conflict", "end", "syntax", "undecided")])
         .withColumn("share_failed", F.round(F.col("n_failed") / F.col("n_files"), 6))
     )
 

@@ -21,13 +21,13 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.grammars import _begin, grammar
-from driftloom.llm.parsing import RECURSION, language_of_path
-from driftloom.llm.peg import Parsed
+from driftloom.syntax.grammars import RECURSION, _begin, grammar
+from driftloom.llm.parsing import language_of_path
+from driftloom.syntax.peg import Parsed
 from driftloom.sources.tables import table
 
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
@@ -80,7 +80,7 @@ def _with_comments(text: str, gap: int, token: int, follows: bool) -> int:
 
 
 def source_levels(text: str, starts: list[int]) -> list[Callable[[int, int], list[int]]]:
-    """The separators of source code whose top-level statements begin at `starts`."""
+    """The separators of source code whose top-level statements behind the first begin at `starts`."""
     return [lambda a, b: [x for x in starts if a < x < b], *_plain_levels(text, re.compile(r"\n(?=[^\n])"))]
 
 
@@ -96,12 +96,12 @@ def _plain_levels(text: str, sentence: re.Pattern) -> list[Callable[[int, int],
     return [ends(re.compile(r"\n[ \t\r]*\n+")), ends(sentence), ends(re.compile(r"\s+")), lambda a, b: list(range(a + 1, b))]
 
 
-def split(n: int, limit: int, overlap: int, levels: list[Callable[[int, int], list[int]]]) -> list[tuple[int, int, int, int]]:
-    """(start with overlap, start of new content, end, level of the cut at that start) of the pieces of n characters."""
-    if overlap >= limit:
-        raise ValueError("the overlap must be smaller than the limit")
-    room = limit - overlap
-    parts: list[tuple[int, int, int]] = []  # start, end, level of the cut at the start
+def parts_of(n: int, room: int, levels: list[Callable[[int, int], list[int]]]) -> list[tuple[int, int, int]]:
+    """(start, end, level of the cut at the start) of the parts of at most `room` characters that the hierarchy gives.
+
+    All cuts of a level are made where a part is too large; a part that fits stays whole.
+    """
+    parts: list[tuple[int, int, int]] = []
 
     def divide(a: int, b: int, level: int, at_start: int) -> None:
         if b - a <= room:
@@ -111,12 +111,16 @@ def split(n: int, limit: int, overlap: int, levels: list[Callable[[int, int], li
             for k in range(a, b, room):
                 parts.append((k, min(b, k + room), at_start if k == a else level))
             return
-        cuts = levels[level](a, b)
-        edges = [a, *cuts, b]
+        edges = [a, *levels[level](a, b), b]
         for k, (x, y) in enumerate(zip(edges, edges[1:])):
             divide(x, y, level + 1, at_start if k == 0 else level)
 
     divide(0, n, 0, 0)
+    return parts
+
+
+def pack(parts: list[tuple[int, int, int]], limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(start with overlap, start of new content, end, level of the cut at that start) of the pieces, filled greedily in order."""
     out: list[tuple[int, int, int, int]] = []
     start, level = parts[0][0], parts[0][2]
     end = start
@@ -130,15 +134,24 @@ def split(n: int, limit: int, overlap: int, levels: list[Callable[[int, int], li
     return out
 
 
+def split(n: int, limit: int, overlap: int, levels: list[Callable[[int, int], list[int]]]) -> list[tuple[int, int, int, int]]:
+    """The pieces of n characters, as `pack` gives them."""
+    if overlap >= limit:
+        raise ValueError("the overlap must be smaller than the limit")
+    return pack(parts_of(n, limit - overlap, levels), limit, overlap)
+
+
 def _splitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(RECURSION)
     for b in batches:
         out: dict[str, list] = {f.name: [] for f in _PIECES}
         for i, path, lang, text, limit, overlap in zip(*(b.column(c).to_pylist() for c in ("file_id", "path", "language", "source", "max_size", "overlap"))):
-            first = statement_starts(text, lang)
-            cut = split(len(text), limit, overlap, source_levels(text, first))
+            if overlap >= limit:
+                raise ValueError("the overlap must be smaller than the limit")
+            parts = parts_of(len(text), limit - overlap, source_levels(text, statement_starts(text, lang)[1:]))
+            cut = pack(parts, limit, overlap)
             row = {
-                "file_id": i, "path": path, "boundaries": first[1:], "n_chars": len(text),
+                "file_id": i, "path": path, "boundaries": [a for a, _, level in parts[1:] if level == 0], "n_chars": len(text),
                 "pieces": [{"part": k, "start_offset": s, "content_start": c, "end_offset": e, "boundary": "start" if k == 0 else LEVELS[v]} for k, (s, c, e, v) in enumerate(cut)],
             }
             for k, v in row.items():
@@ -184,5 +197,29 @@ def p3_boundary_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).groupBy("boundary").agg(F.count(F.lit(1)).alias("n_pieces"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_boundary_rates": p3_boundary_rates}
+def p3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How an earlier run cut the oversized files, held against the splitter's boundaries.
+
+    Per chunk and covered range: whether it begins at a natural boundary, how many characters it repeats of what the
+    run had covered before, how many it leaves out, and by how many it exceeds the limit.  A null coverage gives no row.
+    """
+    chunks = table(spark, sf_dir, "writer_chunks").select("chunk_id", "run_id", "file_id", "part", F.explode("coverage").alias("c"))
+    ranges = chunks.select("chunk_id", "run_id", "file_id", "part", F.col("c.startOffset").alias("start_offset"), F.col("c.endOffset").alias("end_offset")).distinct()
+    before = Window.partitionBy("run_id", "file_id").orderBy("part", "start_offset", "end_offset", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("end_offset").over(before)
+    limits = table(spark, sf_dir, "size_limits")
+    files = split_files(table(spark, sf_dir, "source_files"), limits).select("file_id", "boundaries", language_of_path(F.col("path")).alias("applies_to")).distinct()
+    largest = limits.filter("item_kind = 'source_file' AND unit = 'char'").groupBy("applies_to").agg(F.min("max_size").alias("max_size"))
+    start, end = F.col("start_offset"), F.col("end_offset")
+    return (
+        ranges.withColumn("reached", F.coalesce(reached, F.lit(0))).join(files, "file_id").join(largest, "applies_to")
+        .select(
+            "chunk_id", "run_id", "file_id", "part", "start_offset", "end_offset", ((start == 0) | F.array_contains("boundaries", start)).alias("at_boundary"),
+            F.greatest(F.lit(0), F.least(F.col("reached"), end) - start).alias("n_repeated"), F.greatest(F.lit(0), start - F.col("reached")).alias("n_left_out"),
+            F.greatest(F.lit(0), end - start - F.col("max_size")).alias("n_over"),
+        )
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_boundary_rates": p3_boundary_rates, "p3_chunks": p3_chunks}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftloom.llm.grammars import cause_of, failure, json_failure
+from driftloom.syntax.grammars import cause_of, failure, json_failure
 from driftloom.llm.parsing import p5_found, p5_rates, parse_files
 
 sys.setrecursionlimit(60_000)

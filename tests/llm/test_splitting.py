@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftloom.llm.splitting import p3_found, p3_pieces, prose_levels, source_levels, split, split_files, statement_starts
+from driftloom.llm.splitting import p3_chunks, p3_found, p3_pieces, prose_levels, source_levels, split, split_files, statement_starts
 
 SRC = """#!/usr/bin/env node
 // head
@@ -63,3 +63,17 @@ def test_operator(spark, data):
     assert split_files(df.limit(0), limits).count() == 0 and split_files(df, limits.limit(0)).count() == 0
     assert p3_found(spark, data).filter("start_offset <= 0").count() == 0
     assert p3_pieces(spark, data).filter("end_offset <= content_start").count() == 0
+
+
+def test_chunks_of_an_earlier_run(spark, data, tmp_path):
+    src = "let a = 1\n" * 500  # 5000 characters, over the limit of js
+    files = spark.createDataFrame([(1, "r", "a.js", src), (2, "r", "b.js", "let b")], "file_id long, repo string, path string, source string")
+    cover = [(1, "r1", 1, 1, [("a.js", 0, 2000)]), (2, "r1", 1, 2, [("a.js", 1990, 3995)]), (3, "r1", 1, 3, [("a.js", 4100, 5000)]), (4, "r2", 1, 1, [("a.js", 0, 5000)]), (5, "r2", 1, 2, None), (6, "r2", 2, 1, [("b.js", 0, 5)])]
+    chunks = spark.createDataFrame(cover, "chunk_id long, run_id string, file_id long, part int, coverage array<struct<path string, startOffset int, endOffset int>>")
+    files.write.parquet(f"{tmp_path}/source_files.parquet")
+    chunks.write.parquet(f"{tmp_path}/writer_chunks.parquet")
+    spark.read.parquet(f"{data}/size_limits.parquet").write.parquet(f"{tmp_path}/size_limits.parquet")
+    got = {r.chunk_id: (r.at_boundary, r.n_repeated, r.n_left_out, r.n_over) for r in p3_chunks(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 0, 0, 0), 2: (True, 10, 0, 0), 3: (True, 0, 105, 0), 4: (True, 0, 0, 1000)}
+    assert p3_found(spark, str(tmp_path)).count() == 499
+    assert p3_chunks(spark, data).count() > 0
