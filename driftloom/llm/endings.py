@@ -17,6 +17,8 @@ _MARK = re.compile(
 _CLOSERS = ")]}\"'\u00bb\u201d\u201c\u2019*_\u203a"
 _PAIRS = {")": "(", "]": "[", "}": "{", "\u00bb": "\u00ab", "\u201d": "\u201c\u201e", "\u201c": "\u201e", "\u2019": "\u2018", "\u203a": "\u2039"}
 _END = ".!?\u2026\u3002\uff01\uff1f"
+#: Abbreviations that a sentence goes on after, fixed values.
+_ABBREVIATION = re.compile(r"(?:^|[\s(])(?:e\.\s?g|i\.\s?e|z\.\s?B|d\.\s?h|bzw|vgl|ca|cf|vs|approx|incl|Dr|Mr|Mrs|т\.\s?е|т\.\s?к|напр|см)\.$")
 _ITEM = re.compile(r"^\s*(?:>\s*)*(?:[-*+\u2022]|\d+[.)])\s+(.*)$", re.S)
 _FENCE = re.compile(r"^\s*(?:>\s*)*(```+|~~~+)", re.M)
 _BARE = re.compile(r"^(?:`[^`\n]+`|[\w$]+(?:[.#:/\\-]+[\w$]+)*(?:\(\))?)$")
@@ -54,7 +56,7 @@ def sentence_done(line: str) -> bool:
         closers = t[-1] + closers
         t = t[:-1].rstrip()
     if t and t[-1] in _END and not t.endswith(".."):
-        return True
+        return bool(closers) or not _ABBREVIATION.search(t[-12:])
     if closers:
         last = closers[-1]
         if last in _PAIRS:

@@ -3,11 +3,15 @@
 Per source and column, the histogram of value lengths is tested for spikes, in characters and in bytes: a field limit
 piles values up at one length, however many uncut values are longer, so a spike is held against the lengths shortly below
 and shortly above it (`field_limits`).  Below `NEIGHBOURS`, where templates and empty containers pile up too, it must
-exceed all longer values together.  `p1_limits` lists by its SQL only the spikes that do (`length_spikes`).  A value at a spike length without terminal
-punctuation is flagged.  Values cut in transfer end at any length; they and the flagged ones are then held against the
-structure of their ending (`endings.cut_kind`): an open sentence, list entry, table row, code span, fence or JSON text,
-or the mark an exporter left behind the cut.  A complete ending clears a value that merely has the limit's length.  Endings
-that only style can excuse (a list without final marks, a heading as the last line) count as cut exactly at a limit.
+exceed all longer values together.  `p1_limits` lists by its SQL only the spikes that do (`length_spikes`), `p1_at_limit`
+the values without terminal punctuation at any of them.  A found value has one of two routes:
+
+* ``limit``: it lies on a spike of its source and lacks terminal punctuation.  An exact check follows, which clears endings
+  that are complete without such a mark (a closed JSON text, fence, table row, bracket or code span, a bare symbol).  Endings
+  that only style can excuse (a list without final marks, a heading as the last line) are cut exactly here.
+* ``transfer``: values cut in transfer end at any length, so that no histogram shows them; they are held against the
+  structure of their ending alone (`endings.cut_kind`): an open sentence, list entry, table row, code span, fence or JSON
+  text, or the mark an exporter left behind the cut.
 
 Defined results: null and blank values are never cut; repeated records give one row per copy; an empty table gives an
 empty result; extra columns are ignored; a very long text costs one pass over it.
@@ -69,10 +73,10 @@ def field_limits(values: DataFrame, by: list[str], text: str, min_values: int =
 
 
 def truncated_values(values: DataFrame, source: str, column: str, record: str, text: str) -> DataFrame:
-    """(column, source, record, n_chars, n_bytes, at_limit, cut) of every value that is not blank.
+    """(column, source, record, n_chars, n_bytes, at_limit, cut, route) of every value that is not null.
 
     `at_limit` names the unit whose spike a value without terminal punctuation sits on, `cut` what its ending lacks
-    (null for a complete one; what style alone excuses counts at a limit only).
+    (null for a complete one; what style alone excuses counts at a limit only), `route` how a cut value was found.
     """
     spikes = field_limits(values, [column, source], text).select(column, source, "unit", "length")
     char_limits = spikes.filter("unit = 'chars'").select(column, source, F.col("length").alias("n_chars"), F.lit(True).alias("at_chars"))
@@ -86,6 +90,7 @@ def truncated_values(values: DataFrame, source: str, column: str, record: str, t
         rows.join(char_limits, [column, source, "n_chars"], "left").join(byte_limits, [column, source, "n_bytes"], "left")
         .withColumn("at_limit", F.when(~F.col("terminal"), at))
         .select(column, source, record, "n_chars", "n_bytes", "at_limit", F.when(~F.col("cut").startswith("?") | F.col("at_limit").isNotNull(), F.regexp_replace("cut", r"^\?", "")).alias("cut"))
+        .withColumn("route", F.when(F.col("cut").isNotNull(), F.when(F.col("at_limit").isNotNull(), "limit").otherwise("transfer")))
     )
 
 
@@ -109,12 +114,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per table and feed: values, values cut, those of them at a field limit, and the share cut."""
+    """Per table and feed: values, values cut, those found at a field limit and those found in transfer, and the share cut."""
     return (
         flagged(spark, sf_dir).groupBy("table_name", "feed")
         .agg(
             F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("cut").isNotNull()).alias("n_cut"),
-            F.count_if(F.col("cut").isNotNull() & F.col("at_limit").isNotNull()).alias("n_at_limit"),
+            F.count_if(F.col("route") == "limit").alias("n_at_limit"), F.count_if(F.col("route") == "transfer").alias("n_in_transfer"),
         )
         .withColumn("share_cut", F.round(F.col("n_cut") / F.col("n_values"), 6))
     )
@@ -125,8 +130,45 @@ def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_spikes(field_values(spark, sf_dir), ["table_name", "feed"], "text").select("table_name", "feed", "unit", "length", "n", "n_near", "n_longer")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits}
+def p1_at_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values without terminal punctuation at a field limit: what the histograms flag, before any look at the ending."""
+    values = field_values(spark, sf_dir).filter(F.col("text").isNotNull() & ~F.col("text").rlike(TERMINAL))
+    by = ["table_name", "feed"]
+    limits = field_limits(field_values(spark, sf_dir), by, "text").select(*by, "unit", "length")
+    sizes = F.array(F.struct(F.lit("chars").alias("unit"), F.char_length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))
+    return values.select(*by, "record_id", F.inline(sizes)).join(limits, [*by, "unit", "length"]).select(*by, "record_id", "unit", "length").distinct()
+
+
+def p1_limit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table and feed: values and those the histograms flag, with their share."""
+    n = field_values(spark, sf_dir).groupBy("table_name", "feed").agg(F.count("text").alias("n_values"))
+    at = p1_at_limit(spark, sf_dir).groupBy("table_name", "feed").agg(F.count_distinct("record_id").alias("n_flagged"))
+    flagged_ = F.coalesce("n_flagged", F.lit(0))
+    return n.join(at, ["table_name", "feed"], "left").select("table_name", "feed", "n_values", flagged_.alias("n_flagged"), F.when(F.col("n_values") > 0, F.round(flagged_ / F.col("n_values"), 6)).alias("share_flagged"))
+
+
+_HISTOGRAM = f"""WITH v AS (
+  SELECT 'llm_stages' AS table_name, feed, stage_id AS record_id, response.content AS text FROM llm_stages
+  UNION ALL SELECT 'contradicted_claims', feed, claim_id, evidence FROM contradicted_claims),
+h AS (SELECT table_name, feed, unit, length, count(*) AS n FROM (
+    SELECT table_name, feed, 'chars' AS unit, CAST(length(text) AS INTEGER) AS length FROM v
+    UNION ALL SELECT table_name, feed, 'bytes', CAST(strlen(text) AS INTEGER) FROM v) WHERE length > 0 GROUP BY ALL),
+w AS (SELECT *,
+    CAST(coalesce(sum(n) OVER (PARTITION BY table_name, feed, unit ORDER BY length RANGE BETWEEN {NEIGHBOURS} PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_near,
+    CAST(coalesce(sum(n) OVER (PARTITION BY table_name, feed, unit ORDER BY length RANGE BETWEEN 1 FOLLOWING AND {NEIGHBOURS} FOLLOWING), 0) AS BIGINT) AS n_above,
+    CAST(coalesce(sum(n) OVER (PARTITION BY table_name, feed, unit ORDER BY length ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS n_longer FROM h),
+f AS (SELECT * FROM w WHERE n >= {MIN_VALUES} AND n >= {FACTOR} * (n_near / {NEIGHBOURS} + 0.5)
+    AND (n > n_longer OR length >= {NEIGHBOURS} AND n >= {FACTOR} * (n_above / {NEIGHBOURS} + 0.5))),
+a AS (SELECT DISTINCT v.table_name, v.feed, v.record_id, f.unit, f.length FROM v JOIN f ON v.table_name = f.table_name AND v.feed = f.feed
+    AND f.length = CASE WHEN f.unit = 'chars' THEN length(v.text) ELSE strlen(v.text) END WHERE NOT regexp_matches(v.text, '{TERMINAL.replace("'", "''")}'))
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits, "p1_at_limit": p1_at_limit, "p1_limit_rates": p1_limit_rates}
 SQL = {
+    "p1_at_limit": _HISTOGRAM + "SELECT * FROM a",
+    "p1_limit_rates": _HISTOGRAM
+    + """SELECT table_name, feed, count(text) AS n_values, any_value(coalesce(n, 0)) AS n_flagged, CASE WHEN count(text) > 0 THEN round(any_value(coalesce(n, 0)) / count(text), 6) END AS share_flagged
+FROM v LEFT JOIN (SELECT table_name, feed, count(DISTINCT record_id) AS n FROM a GROUP BY ALL) USING (table_name, feed) GROUP BY table_name, feed""",
     "p1_limits": f"""WITH v AS (
   SELECT 'llm_stages' AS table_name, feed, response.content AS text FROM llm_stages
   UNION ALL SELECT 'contradicted_claims', feed, evidence FROM contradicted_claims),

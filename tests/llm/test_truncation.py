@@ -33,4 +33,12 @@ def test_limit_that_many_uncut_values_exceed(spark):
 def test_empty_table_and_queries(spark, data):
     assert truncated_values(values(spark, []), "feed", "t", "id", "text").count() == 0
     assert p1_found(spark, data).columns == ["table_name", "record_id"]
-    check(spark, truncation.p1_limits, truncation.SQL["p1_limits"], data)
+    for name in truncation.SQL:
+        check(spark, truncation.QUERIES[name], truncation.SQL[name], data.replace("sf0.001", "sf0.01"))
+
+
+def test_both_routes(spark):
+    rows = [("a", "The parser reads it and " + "x" * 176)] * 20 + [("a", "w" * i + ".") for i in range(100, 400)] + [("a", "The parser rea"), ("a", '{"a": "' + "y" * 191 + '"}')]
+    got = truncated_values(values(spark, rows), "feed", "t", "id", "text")
+    assert [(r.route, r.cut) for r in got.filter("cut IS NOT NULL").orderBy("id").collect()] == [("limit", "sentence")] * 20 + [("transfer", "sentence")]
+    assert [r.at_limit for r in got.filter("id = 321").collect()] == ["chars"]
