@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.plans import chunks, domains, drift, graphs, references, snapshots
+from driftloom.plans import chunks, domains, graphs, references, snapshots, states
 
 
 def analyze_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +19,12 @@ def changed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stale blocks of all detectors."""
-    return drift.q_stale_merged(spark, sf_dir)
+    return states.q_stale_merged(spark, sf_dir)
 
 
 def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must be refreshed, in what order: stale blocks with the impact order of their section (3 without one)."""
-    stale = drift.q_stale_merged(spark, sf_dir).withColumnRenamed("section", "sectionId")
+    stale = states.q_stale_merged(spark, sf_dir).withColumnRenamed("section", "sectionId")
     j = stale.join(graphs.q_impact(spark, sf_dir), ["repo", "sectionId"], "left")
     return j.select("repo", "sectionId", "block", "drift", "facets", F.coalesce("impact_order", F.lit(3).cast("bigint")).alias("impact_order"))
 
@@ -53,7 +53,7 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"q_refresh_plan": refresh_plan, "q_validate_docs": validate_docs}
 SQL = {
-    "q_refresh_plan": f"""WITH s AS ({drift.SQL["q_stale_merged"]}), i AS ({graphs.SQL["q_impact"]})
+    "q_refresh_plan": f"""WITH s AS ({states.SQL["q_stale_merged"]}), i AS ({graphs.SQL["q_impact"]})
 SELECT s.repo, s.section AS sectionId, s.block, s.drift, s.facets, coalesce(i.impact_order, 3) AS impact_order FROM s LEFT JOIN i ON i.repo = s.repo AND i.sectionId = s.section""",
     "q_validate_docs": f"""SELECT repo, sectionId AS subject, issue, detail FROM ({domains.SQL["q_validate"]}) UNION ALL SELECT repo, file, issue, slugs FROM ({domains.SQL["q_domain_coverage"]})""",
 }

@@ -1,7 +1,10 @@
 """Graph operators on edge tables (owner, src, dst); an owner is one graph, nodes of different owners never meet.
 
 Node tables keep isolated nodes.  Iterations run on the driver, one job per step, and write their state to the shared
-checkpoint folder between steps; they stop when a step changes nothing.
+checkpoint folder between steps; they stop when a step changes nothing.  Edges are written there once, before the first
+step, so that no step computes them again.  Components and chains of single dependencies are followed by doubling, so that
+their number of steps grows with the logarithm of a path's length; labels along directed edges need up to the longest
+shortest path of what is left when such chains are gone.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     """(owner, node, depth): nodes reachable from `start` (owner, node) with their least distance; start has depth 0."""
     frontier = cut_lineage(start.select("owner", "node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
-    step = edges.select("owner", F.col("src").alias("node"), "dst")
+    step = cut_lineage(edges.select("owner", F.col("src").alias("node"), "dst"))
     while max_depth is None or depth < max_depth:
         depth += 1
         nxt = frontier.join(step, ["owner", "node"]).select("owner", F.col("dst").alias("node")).distinct()
@@ -42,65 +45,123 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
 
 
 def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(owner, node, label): the least node that reaches each node along `edges`, itself included."""
-    state = cut_lineage(nodes.select("owner", "node", F.col("node").alias("label"), F.lit(True).alias("moved")))
-    step = edges.select("owner", F.col("src").alias("node"), "dst")
+    """(owner, node, label): the least node that reaches each node along `edges`, itself included.
+
+    A node takes the least label of its predecessors, then the label of that label: who reaches it reaches the node too.
+    The number of steps is at most that of the longest shortest path.
+    """
+    state = cut_lineage(nodes.select("owner", "node", F.col("node").alias("label")).distinct())
+    step = cut_lineage(edges.select("owner", F.col("src").alias("node"), "dst"))
     while True:
-        sent = state.filter("moved").join(step, ["owner", "node"]).groupBy("owner", F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
-        better = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
-        state = cut_lineage(
-            state.join(sent, ["owner", "node"], "left").select("owner", "node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("moved"))
-        )
-        if state.filter("moved").isEmpty():
-            return state.select("owner", "node", "label")
+        sent = state.join(step, ["owner", "node"]).groupBy("owner", F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        near = state.join(sent, ["owner", "node"], "left").select("owner", "node", "label", F.least("label", "offer").alias("near"))
+        jump = near.select("owner", F.col("node").alias("near"), F.col("near").alias("far"))
+        new = near.join(jump, ["owner", "near"], "left").select("owner", "node", F.least("near", "far").alias("new"), "label")
+        new = cut_lineage(new.select("owner", "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        state = new.select("owner", "node", "label")
+        if new.filter("moved").isEmpty():
+            return state
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(owner, node, label): undirected components named by their least node."""
-    return min_label(nodes, edges.select("owner", "src", "dst").unionByName(reverse_edges(edges)))
+    """(owner, node, label): undirected components named by their least node.
+
+    Labels are joined as trees: a node that sees a lesser label offers it to its own label too, so that all who bear that label
+    move at once, and every label jumps to its label.
+    """
+    state = cut_lineage(nodes.select("owner", "node", F.col("node").alias("label")).distinct())
+    step = cut_lineage(edges.select("owner", F.col("src").alias("node"), "dst").unionByName(edges.select("owner", F.col("dst").alias("node"), F.col("src").alias("dst"))).distinct())
+    while True:
+        sent = state.join(step, ["owner", "node"]).groupBy("owner", F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        near = state.join(sent, ["owner", "node"], "left")
+        hook = near.groupBy("owner", F.col("label").alias("node")).agg(F.min("offer").alias("hook"))
+        near = near.join(hook, ["owner", "node"], "left").select("owner", "node", "label", F.least("label", "offer", "hook").alias("near"))
+        jump = near.select("owner", F.col("node").alias("near"), F.col("near").alias("far"))
+        new = near.join(jump, ["owner", "near"], "left").select("owner", "node", F.least("near", "far").alias("new"), "label")
+        new = cut_lineage(new.select("owner", "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        state = new.select("owner", "node", "label")
+        if new.filter("moved").isEmpty():
+            return state
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(owner, node, scc): strongly connected components named by their least node.
 
-    Nodes without an edge in or out of the remaining graph are components of their own and are trimmed; of the rest,
-    nodes that share the least node reaching them (forward label) and are reached back from it form a component.
+    Where the least node that reaches a node is also the least that it reaches, the node belongs to that node's component.
+    The nodes of a component agree in both labels, so edges between others are dropped and the rest is labelled again.
+    Nodes without an edge in or out of what is left are components of their own.
     """
     left = cut_lineage(nodes.select("owner", "node").distinct())
     arcs = cut_lineage(edges.select("owner", "src", "dst").filter("src <> dst").distinct())
-    done: DataFrame | None = None
+    # what leads to a node without dependencies along a chain is on no cycle, however long the chain is
+    ends = arcs.select("owner", F.col("src").alias("base")).distinct()
+    loose = _chains(arcs, max(1, arcs.count()).bit_length() + 1).join(ends, ["owner", "base"], "left_anti").select("owner", "node")
+    alone = left.join(loose, ["owner", "node"], "left_semi").select("owner", "node", F.col("node").alias("scc"))
+    done = cut_lineage(alone)
+    held = cut_lineage(left.join(loose, ["owner", "node"], "left_anti"))
+    arcs = cut_lineage(arcs.join(held.select("owner", F.col("node").alias("src")), ["owner", "src"], "left_semi"))
+    left = held
     while not left.isEmpty():
-        both = arcs.select("owner", F.col("src").alias("node")).intersect(arcs.select("owner", F.col("dst").alias("node")))
-        alone = left.join(both, ["owner", "node"], "left_anti").select("owner", "node", F.col("node").alias("scc"))
-        rest = left.join(both, ["owner", "node"], "left_semi")
-        forward = min_label(rest, arcs)
-        inside = (
-            arcs.join(forward.select("owner", F.col("node").alias("src"), F.col("label").alias("a")), ["owner", "src"])
-            .join(forward.select("owner", F.col("node").alias("dst"), F.col("label").alias("b")), ["owner", "dst"]).filter("a = b").select("owner", "src", "dst")
-        )
-        back = reach(reverse_edges(inside), forward.filter("node = label").select("owner", "node"))
-        found = forward.join(back.select("owner", "node"), ["owner", "node"], "left_semi").select("owner", "node", F.col("label").alias("scc"))
-        part = cut_lineage(alone.unionByName(found))
-        done = part if done is None else done.unionByName(part)
-        left = cut_lineage(left.join(part, ["owner", "node"], "left_anti"))
-        keep = lambda c: left.select("owner", F.col("node").alias(c))  # noqa: B023, E731
-        arcs = cut_lineage(arcs.join(keep("src"), ["owner", "src"], "left_semi").join(keep("dst"), ["owner", "dst"], "left_semi"))
-    return done if done is not None else nodes.select("owner", "node", F.col("node").alias("scc"))
+        both = cut_lineage(arcs.select("owner", F.col("src").alias("node")).intersect(arcs.select("owner", F.col("dst").alias("node"))))
+        part = left.join(both, ["owner", "node"], "left_anti").select("owner", "node", F.col("node").alias("scc"))
+        if not both.isEmpty():
+            inner = lambda c: both.select("owner", F.col("node").alias(c))  # noqa: B023, E731
+            arcs = cut_lineage(arcs.join(inner("src"), ["owner", "src"], "left_semi").join(inner("dst"), ["owner", "dst"], "left_semi"))
+            ahead, behind = min_label(both, arcs), min_label(both, reverse_edges(arcs))
+            labels = cut_lineage(ahead.withColumnRenamed("label", "a").join(behind.withColumnRenamed("label", "b"), ["owner", "node"]))
+            part = part.unionByName(labels.filter("a = b").select("owner", "node", F.col("a").alias("scc")))
+            rest = labels.filter("a <> b")
+            end = lambda c: rest.select("owner", F.col("node").alias(c), F.col("a").alias(f"{c}_a"), F.col("b").alias(f"{c}_b"))  # noqa: B023, E731
+            arcs = arcs.join(end("src"), ["owner", "src"]).join(end("dst"), ["owner", "dst"]).filter("src_a = dst_a AND src_b = dst_b").select("owner", "src", "dst")
+            arcs = cut_lineage(arcs)
+            left = cut_lineage(rest.select("owner", "node"))
+        else:
+            left = left.limit(0)
+        part = cut_lineage(part)
+        done = done.unionByName(part)
+    return done
+
+
+def _chains(arcs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(owner, node, base, far): the node with none or several dependencies that each node of one dependency leads to, and how
+    many steps away it is.  On a cycle there is none; `rounds` ends the doubling there, when far exceeds the number of nodes."""
+    one = arcs.groupBy("owner", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("base")).filter("n = 1")
+    state = cut_lineage(one.select("owner", "node", "base", F.lit(1).alias("far")))
+    while True:
+        nxt = state.select("owner", F.col("node").alias("base"), F.col("base").alias("base2"), F.col("far").alias("far2"))
+        j = state.join(nxt, ["owner", "base"], "left")
+        new = cut_lineage(j.select("owner", "node", F.coalesce("base2", "base").alias("base"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("base2").isNotNull().alias("moved")))
+        state = new.drop("moved")
+        rounds = None if rounds is None else rounds - 1
+        if rounds == 0 or new.filter("moved").isEmpty():
+            return state
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(owner, node, scc, wave): components in the order their dependencies allow; a wave is one more than the greatest
-    wave among the components it depends on, 0 without any."""
+    wave among the components it depends on, 0 without any.
+
+    Components of one dependency are one wave after it; such chains are followed first, so that a step is needed only for
+    each component of several dependencies on the longest path.
+    """
     scc = cut_lineage(strong_components(nodes, edges))
     arcs = cut_lineage(quotient_edges(edges, scc.select("owner", "node", F.col("scc").alias("grp"))))
-    level = cut_lineage(scc.select("owner", F.col("scc").alias("node")).distinct().withColumn("wave", F.lit(0)).withColumn("moved", F.lit(True)))
+    chain = _chains(arcs)
+    ends = chain.select("owner", F.col("node").alias("dst"), "base", "far")
+    several = arcs.join(chain.select("owner", F.col("node").alias("src")), ["owner", "src"], "left_anti")
+    step = several.join(ends, ["owner", "dst"], "left").select("owner", "src", F.coalesce("base", "dst").alias("dst"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
+    step = cut_lineage(step.groupBy("owner", "src", "dst").agg(F.max("far").alias("far")))
+    every = scc.select("owner", F.col("scc").alias("node")).distinct()
+    level = cut_lineage(every.join(chain, ["owner", "node"], "left_anti").withColumn("wave", F.lit(0)).withColumn("moved", F.lit(True)))
     while True:
         pushed = (
-            arcs.join(level.filter("moved").select("owner", F.col("node").alias("dst"), "wave"), ["owner", "dst"])
-            .groupBy("owner", F.col("src").alias("node")).agg((F.max("wave") + 1).alias("offer"))
+            step.join(level.filter("moved").select("owner", F.col("node").alias("dst"), "wave"), ["owner", "dst"])
+            .groupBy("owner", F.col("src").alias("node")).agg(F.max(F.col("wave") + F.col("far")).alias("offer"))
         )
         more = F.coalesce(F.col("offer") > F.col("wave"), F.lit(False))
         level = cut_lineage(level.join(pushed, ["owner", "node"], "left").select("owner", "node", F.when(more, F.col("offer")).otherwise(F.col("wave")).alias("wave"), more.alias("moved")))
         if level.filter("moved").isEmpty():
             break
-    return scc.join(level.select("owner", F.col("node").alias("scc"), "wave"), ["owner", "scc"]).select("owner", "node", "scc", "wave")
+    based = chain.join(level.select("owner", F.col("node").alias("base"), "wave"), ["owner", "base"]).select("owner", "node", (F.col("wave") + F.col("far")).alias("wave"))
+    all_ = level.select("owner", "node", "wave").unionByName(based)
+    return scc.join(all_.select("owner", F.col("node").alias("scc"), "wave"), ["owner", "scc"]).select("owner", "node", "scc", "wave")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.blocks import BLOCK_FACETS, BLOCKS, FACETS
 from driftloom.functions.ids import canonical_id
-from driftloom.operators.drift import block_fingerprint, changed_facets, facet_hashes, merge_passes
+from driftloom.operators.drift import block_fingerprint, changed_facets, facet_hashes
 from driftloom.operators.intervals import overlapping, smallest_enclosing
 from driftloom.operators.upsert import merge_prefer_new, replace_by_key
 from driftloom.plans.current import CUR, SECTIONS, TRIM, _CANON, current_entities, first_of, newest, sections
@@ -68,31 +68,6 @@ def q_stale_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(sec.join(_now(spark, sf_dir).select("repo", "id"), ["repo", "id"], "left_anti")).select("repo", "sectionId", "block")
 
 
-def _dependency_hash(spark: SparkSession, sf_dir: str, sec: DataFrame, at_writing: bool) -> DataFrame:
-    dep = sec.select("repo", "sectionId", "snapshot_no", F.explode("dependencyEntityIds").alias("r")).select("repo", "sectionId", "snapshot_no", canonical_id(F.col("r")).alias("id")).filter("id <> ''").distinct()
-    there = dep.join(_past(spark, sf_dir, dep), ["repo", "snapshot_no", "id"]) if at_writing else dep.drop("snapshot_no").join(_now(spark, sf_dir), ["repo", "id"])
-    line = F.concat_ws("|", "id", F.coalesce("content", F.lit("")))
-    return there.groupBy("repo", "sectionId").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), "\n"), 256).alias("h"))
-
-
-def q_stale_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections whose dependencies, taken together, are no longer what they were."""
-    sec = _owned(spark, sf_dir)
-    a = _dependency_hash(spark, sf_dir, sec, True).withColumnRenamed("h", "then")
-    b = _dependency_hash(spark, sf_dir, sec, False).withColumnRenamed("h", "now")
-    return a.join(b, ["repo", "sectionId"], "left").filter("now IS NULL OR then <> now").select("repo", "sectionId", "then", "now")
-
-
-def q_stale_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors merged per block: facets united, the first drift kept."""
-    ast = q_stale_ast(spark, sf_dir).select("repo", F.col("sectionId").alias("section"), "block", F.lit("facet_changed").alias("drift"), F.split("changed", ",").alias("facets"))
-    gone = q_stale_deleted(spark, sf_dir).select("repo", F.col("sectionId").alias("section"), "block", F.lit("owner_deleted").alias("drift"), F.array().cast("array<string>").alias("facets"))
-    dep = q_stale_dependencies(spark, sf_dir).join(_blocks(_owned(spark, sf_dir)).select("repo", "sectionId", "block"), ["repo", "sectionId"])
-    dep = dep.select("repo", F.col("sectionId").alias("section"), "block", F.lit("dependency_changed").alias("drift"), F.array(F.lit("depDocs")).alias("facets"))
-    m = merge_passes(ast, gone, dep)
-    return m.select("repo", "section", "block", "drift", F.array_join("facets", ",").alias("facets"))
-
-
 def q_stale_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translated blocks whose language tag is not the plain tag of its language."""
     t = table(spark, sf_dir, "translate_blocks")
@@ -164,10 +139,10 @@ def q_incremental_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_preserve_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures merged over the two newest numbers of delivery: a later one that is not blank wins."""
+    """Signatures merged over the two newest deliveries of each repository: a later one that is not blank wins."""
     e = table(spark, sf_dir, "entities").select("repo", "snapshot_no", "id", "signature", "loaded_at", "ord")
-    last = e.groupBy("repo").agg(F.max("snapshot_no").alias("m"))
-    tagged = e.join(last, "repo").withColumn("back", F.col("m") - F.col("snapshot_no"))
+    numbers = e.select("repo", "snapshot_no").distinct().withColumn("back", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("snapshot_no"))) - 1)
+    tagged = e.join(numbers.filter("back < 2"), ["repo", "snapshot_no"])
     one = lambda k: first_of(tagged.filter(F.col("back") == k), ["repo", "id"], ["loaded_at", "ord"]).select("repo", "id", "signature")
     return merge_prefer_new(one(1), one(0), ["repo", "id"], ["signature"])
 
@@ -191,24 +166,14 @@ _FPS = f"""{_PAST}, {_OWNED}, fps AS (SELECT b.repo, b.sectionId, b.block, CASE
   FROM blocks b JOIN owned o ON o.repo = b.repo AND o.sectionId = b.sectionId LEFT JOIN past p ON p.repo = o.repo AND p.snapshot_no = o.snapshot_no AND p.id = o.id LEFT JOIN now_ n ON n.repo = o.repo AND n.id = o.id
   WHERE b.block IN ({", ".join(f"'{b}'" for b in BLOCKS)})),
 stale_ast AS (SELECT repo, sectionId, block, concat_ws(',', {", ".join(f"CASE WHEN regexp_extract(stored, '{f}=([0-9a-f]*)', 1) <> regexp_extract(current, '{f}=([0-9a-f]*)', 1) THEN '{f}' END" for f in FACETS)}) AS changed FROM fps WHERE stored <> current)"""
-_DEPS = f"""dep AS (SELECT DISTINCT repo, sectionId, snapshot_no, {_CANON.format(t="t")} AS id FROM (SELECT repo, sectionId, snapshot_no, {TRIM.format(c="r")} AS t FROM (SELECT repo, sectionId, snapshot_no, unnest(dependencyEntityIds) AS r FROM sections)) WHERE t <> ''),
-dep_then AS (SELECT d.repo, d.sectionId, sha256(string_agg(DISTINCT d.id || '|' || coalesce(p.content, ''), chr(10) ORDER BY d.id || '|' || coalesce(p.content, ''))) AS h FROM dep d JOIN past p ON p.repo = d.repo AND p.snapshot_no = d.snapshot_no AND p.id = d.id GROUP BY 1, 2),
-dep_now AS (SELECT d.repo, d.sectionId, sha256(string_agg(DISTINCT d.id || '|' || coalesce(p.content, ''), chr(10) ORDER BY d.id || '|' || coalesce(p.content, ''))) AS h FROM dep d JOIN now_ p ON p.repo = d.repo AND p.id = d.id GROUP BY 1, 2),
-stale_dep AS (SELECT a.repo, a.sectionId, a.h AS "then", b.h AS "now" FROM dep_then a LEFT JOIN dep_now b ON b.repo = a.repo AND b.sectionId = a.sectionId WHERE b.h IS NULL OR a.h <> b.h)"""
 _RANGES = f"""{CUR}, rng AS (SELECT repo, path, id, type, range.startLine AS s, range.endLine AS e, range.startOffset AS so, range.endOffset AS eo FROM cur
   WHERE range.startLine IS NOT NULL AND range.endLine IS NOT NULL AND range.startOffset IS NOT NULL AND range.endOffset IS NOT NULL AND path IS NOT NULL)"""
 
-QUERIES = {f.__name__: f for f in (q_block_fingerprint, q_stale_ast, q_stale_deleted, q_stale_dependencies, q_stale_merged, q_stale_language, q_file_fingerprint, q_graph_facets, q_diff_overlap, q_smallest_enclosing, q_top_level, q_incremental_patch, q_preserve_values)}
+QUERIES = {f.__name__: f for f in (q_block_fingerprint, q_stale_ast, q_stale_deleted, q_stale_language, q_file_fingerprint, q_graph_facets, q_diff_overlap, q_smallest_enclosing, q_top_level, q_incremental_patch, q_preserve_values)}
 SQL = {
     "q_block_fingerprint": f"WITH {_FPS} SELECT repo, sectionId, block, stored, current FROM fps",
     "q_stale_ast": f"WITH {_FPS} SELECT repo, sectionId, block, changed FROM stale_ast",
     "q_stale_deleted": f"WITH {_PAST}, {_OWNED} SELECT b.repo, b.sectionId, b.block FROM blocks b ANTI JOIN now_ n ON n.repo = b.repo AND n.id = b.id WHERE b.block IN ({', '.join(repr(b) for b in BLOCKS)})",
-    "q_stale_dependencies": f'WITH {_PAST}, {_OWNED}, {_DEPS} SELECT repo, sectionId, "then", "now" FROM stale_dep',
-    "q_stale_merged": f"""WITH {_FPS}, {_DEPS}, al AS (
-  SELECT repo, sectionId AS section, block, 'facet_changed' AS drift, changed AS facets, 0 AS p FROM stale_ast
-  UNION ALL SELECT b.repo, b.sectionId, b.block, 'owner_deleted', NULL, 1 FROM blocks b ANTI JOIN now_ n ON n.repo = b.repo AND n.id = b.id WHERE b.block IN ({', '.join(repr(b) for b in BLOCKS)})
-  UNION ALL SELECT b.repo, b.sectionId, b.block, 'dependency_changed', 'depDocs', 2 FROM stale_dep d JOIN blocks b ON b.repo = d.repo AND b.sectionId = d.sectionId WHERE b.block IN ({', '.join(repr(b) for b in BLOCKS)}))
-SELECT repo, section, block, arg_min(drift, p) AS drift, coalesce(string_agg(facets, ',' ORDER BY p), '') AS facets FROM al GROUP BY 1, 2, 3""",
     "q_stale_language": "SELECT DISTINCT pair_id, blockId, language, lower(split_part(language, '-', 1)) AS canonical_language FROM translate_blocks WHERE language <> lower(split_part(language, '-', 1))",
     "q_file_fingerprint": f"WITH {CUR} SELECT repo, path, sha256(string_agg(id || '|' || coalesce({_hash('contentHash')}, ''), chr(10) ORDER BY id || '|' || coalesce({_hash('contentHash')}, ''))) AS fingerprint, count(*) AS n_entities FROM cur WHERE path IS NOT NULL GROUP BY 1, 2",
     "q_graph_facets": f"""WITH {CUR}, al AS (SELECT repo, id, 'd' AS k, unnest(directDeps) AS r FROM cur UNION ALL SELECT repo, id, 'u', unnest(directUsages) FROM cur),
@@ -223,8 +188,8 @@ SELECT m.repo, m.hit_id, coalesce(f.id, 'file:' || m.path) AS enclosing FROM m L
     "q_top_level": f"""WITH {_RANGES} SELECT DISTINCT a.repo, a.path, a.so AS start_offset FROM rng a WHERE a.type <> 'file' AND NOT EXISTS (
   SELECT 1 FROM rng b WHERE b.type <> 'file' AND b.repo = a.repo AND b.path = a.path AND b.so <= a.so AND a.eo <= b.eo AND b.eo - b.so > a.eo - a.so)""",
     "q_incremental_patch": f"WITH {SECTIONS} SELECT repo, sectionId, section_row_id, heading FROM sections",
-    "q_preserve_values": """WITH t AS (SELECT e.*, m - snapshot_no AS back, row_number() OVER (PARTITION BY e.repo, id, snapshot_no ORDER BY loaded_at, ord) AS rn
-  FROM entities e JOIN (SELECT repo, max(snapshot_no) AS m FROM entities GROUP BY repo) l USING (repo)),
+    "q_preserve_values": """WITH t AS (SELECT e.*, back, row_number() OVER (PARTITION BY e.repo, id, snapshot_no ORDER BY loaded_at, ord) AS rn
+  FROM entities e JOIN (SELECT repo, snapshot_no, row_number() OVER (PARTITION BY repo ORDER BY snapshot_no DESC) - 1 AS back FROM (SELECT DISTINCT repo, snapshot_no FROM entities)) l USING (repo, snapshot_no)),
 o AS (SELECT repo, id, signature FROM t WHERE back = 1 AND rn = 1), n AS (SELECT repo, id, signature FROM t WHERE back = 0 AND rn = 1)
 SELECT repo, id, CASE WHEN n.signature IS NOT NULL AND NOT regexp_matches(n.signature, '^\\s*$') THEN n.signature ELSE o.signature END AS signature FROM o FULL JOIN n USING (repo, id)""",
 }

@@ -136,7 +136,7 @@ def q_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = written.join(now, ["repo", "id"]).filter("then <> now").select("repo", "id").distinct()
     direct = owns.join(changed, ["repo", "id"]).select("repo", "sectionId", F.lit(0).alias("o")).unionByName(deps.join(changed, ["repo", "id"]).select("repo", "sectionId", F.lit(1).alias("o")))
     direct = cut_lineage(direct.groupBy("repo", "sectionId").agg(F.min("o").alias("o")))
-    arcs = deps.select(F.col("repo").alias("owner"), F.col("id").alias("src"), F.col("sectionId").alias("dst"))
+    arcs = deps.select(F.col("repo").alias("owner"), F.regexp_replace("id", "^section:", "").alias("src"), F.col("sectionId").alias("dst"))
     reached = G.reach(arcs, direct.select(F.col("repo").alias("owner"), F.col("sectionId").alias("node")))
     later = reached.filter("depth > 0").select(F.col("owner").alias("repo"), F.col("node").alias("sectionId"), F.lit(2).alias("o"))
     return direct.unionByName(later).select("repo", "sectionId", F.col("o").cast("bigint").alias("impact_order"))
@@ -203,6 +203,6 @@ dep AS (SELECT DISTINCT repo, sectionId, {_CANON.format(t="t")} AS id FROM (SELE
 past AS (SELECT repo, snapshot_no, id, max({_H.format(c="contentHash")}) AS h FROM entities GROUP BY 1, 2, 3),
 changed AS (SELECT DISTINCT o.repo, o.id FROM own o JOIN past p ON p.repo = o.repo AND p.snapshot_no = o.snapshot_no AND p.id = o.id JOIN cur c ON c.repo = o.repo AND c.id = o.id WHERE p.h <> {_H.format(c="c.contentHash")}),
 direct AS (SELECT repo, sectionId, min(o) AS o FROM (SELECT o.repo, o.sectionId, 0 AS o FROM own o JOIN changed USING (repo, id) UNION ALL SELECT d.repo, d.sectionId, 1 FROM dep d JOIN changed USING (repo, id)) GROUP BY 1, 2),
-r AS (SELECT repo, sectionId FROM direct UNION SELECT d.repo, d.sectionId FROM r JOIN dep d ON d.repo = r.repo AND d.id = r.sectionId)
+r AS (SELECT repo, sectionId FROM direct UNION SELECT d.repo, d.sectionId FROM r JOIN dep d ON d.repo = r.repo AND regexp_replace(d.id, '^section:', '') = r.sectionId)
 SELECT repo, sectionId, CAST(coalesce(d.o, 2) AS BIGINT) AS impact_order FROM r LEFT JOIN direct d USING (repo, sectionId)""",
 }

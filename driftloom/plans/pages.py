@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.ids import canonical_id, path_of_id
-from driftloom.plans import domains, drift, snapshots
+from driftloom.plans import drift, snapshots, states
 from driftloom.plans.current import CUR, EDGES, SECTIONS, TRIM, _CANON, current_entities, dependency_edges, first_of, sections
 from driftloom.plans.drift import _ranges
+from driftloom.session import shared_folder
 from driftloom.sources.tables import table, table_stream
 from driftloom.streaming.change_feed import latest_snapshot, maintain
 
@@ -99,7 +99,7 @@ def q_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stale_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One banner per section and reason with its blocks in canonical order."""
-    m = drift.q_stale_merged(spark, sf_dir)
+    m = states.q_stale_merged(spark, sf_dir)
     order = F.array(*[F.lit(b) for b in drift.BLOCKS])
     return m.groupBy("repo", "section", "drift").agg(F.array_join(F.array_intersect(order, F.collect_set("block")), ",").alias("blocks"))
 
@@ -139,8 +139,7 @@ def q_url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each entity, kept by a streaming query over the deliveries and read from its last snapshot."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftloom-stream-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     feed = table_stream(spark, sf_dir, "entities").select("repo", "id", "snapshot_no", "loaded_at", "ord", "contentHash")
     maintain(feed, f"{root}/state", f"{root}/checkpoint", ["repo", "id"], ["snapshot_no", "loaded_at", "ord", "contentHash"]).awaitTermination()
     return latest_snapshot(spark, f"{root}/state").select("repo", "id", "snapshot_no", "contentHash")
@@ -165,7 +164,7 @@ f AS (SELECT docPath, arg_min(t, (pair_id, t)) AS t FROM t WHERE t <> '' GROUP B
     "q_first_duplicate": "SELECT repo, snapshot_no, id, count(*) AS n, min(loaded_at) AS first_loaded FROM entities GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "q_freshness": """WITH s AS (SELECT repo, snapshot_no, min(snapshot_at) AS t FROM entities GROUP BY 1, 2), x AS (SELECT *, lead(t) OVER (PARTITION BY repo ORDER BY snapshot_no) AS next_t FROM s)
 SELECT e.repo, max(e.snapshot_no) AS newest, max(e.loaded_at) AS last_loaded, count(*) FILTER (e.loaded_at > x.next_t) AS n_late FROM entities e JOIN x ON x.repo = e.repo AND x.snapshot_no = e.snapshot_no GROUP BY 1""",
-    "q_stale_banners": f"""WITH m AS ({drift.SQL["q_stale_merged"]}) SELECT repo, section, drift, string_agg(block, ',' ORDER BY list_position([{", ".join(f"'{b}'" for b in drift.BLOCKS)}], block)) AS blocks FROM m GROUP BY 1, 2, 3""",
+    "q_stale_banners": f"""WITH m AS ({states.SQL["q_stale_merged"]}) SELECT repo, section, drift, string_agg(block, ',' ORDER BY list_position([{", ".join(f"'{b}'" for b in drift.BLOCKS)}], block)) AS blocks FROM m GROUP BY 1, 2, 3""",
     "q_restamp": f"""WITH f AS ({drift.SQL["q_block_fingerprint"]}) SELECT repo, sectionId, block, coalesce(current, stored) AS fingerprint, current IS NOT NULL AND current IS DISTINCT FROM stored AS restamped FROM f""",
     "q_tombstones": f"""WITH d AS ({drift.SQL["q_stale_deleted"]}), g AS (SELECT repo, id, max(snapshot_no) AS removed_in FROM ({snapshots.SQL["p7_found"]}) WHERE change = 'removed' GROUP BY 1, 2), {_OWN}
 SELECT d.repo, d.sectionId, d.block, g.removed_in FROM d JOIN owned o ON o.repo = d.repo AND o.sectionId = d.sectionId JOIN g ON g.repo = d.repo AND g.id = o.id""",

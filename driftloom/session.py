@@ -1,9 +1,10 @@
-"""Session factory and the one place that decides where checkpoints go."""
+"""Session factory and the one place that decides where intermediate tables go."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,18 +37,30 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (have, root) if x)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of the machine only where the session names none and runs in one JVM,
+    as in tests."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="driftloom-ckpt-")
+        folder = _LOCAL[app]
+    return folder.rstrip("/")
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back.
+    """Write `df` as a table of the shared folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of the machine is used only where the
-    session names none and runs in one JVM, as in tests.
+    It survives the loss of executors, is computed once, and has the size it has: a plan that is joined with itself step after
+    step would otherwise be estimated at the product of all of them.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="driftloom-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
