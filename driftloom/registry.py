@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from driftloom import api
-from driftloom.plans import chunks, domains, drift, graphs, links, logs, pages, references, snapshots, states, texts
+from driftloom.plans import chunks, domains, drift, extraction, graphs, links, logs, pages, references, snapshots, states, texts
 
-MODULES = [api, chunks, domains, drift, graphs, links, logs, pages, references, snapshots, states, texts]
+MODULES = [api, chunks, domains, drift, extraction, graphs, links, logs, pages, references, snapshots, states, texts]
 
 
 def queries() -> dict:

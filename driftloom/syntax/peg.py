@@ -360,6 +360,7 @@ class Parsed:
 
         self.text, self.tokens, self.tok = text, tokens, tok
         self.substitution = "Substitution"
+        self.template, self.regex, self.grammar = template, regex, bind.grammar
         self.rules = bind(tokens, tok, template, regex, repeats, [0] * len(_AROUND), [])
 
     def token(self, p: int) -> tuple:
@@ -378,6 +379,7 @@ def compile_grammar(text: str) -> Callable:
     src = c.source()
     space: dict = {"RESERVED": RESERVED, "F": [frozenset(k) for k in c.sets]}
     exec(compile(src, "<grammar>", "exec"), space)  # noqa: S102 - the source is generated from the grammar above
+    space["bind"].grammar = c.rules
     return space["bind"]
 
 
