@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ def tokens(sentence: str) -> list[str]:
     return [t if t[0] == "`" else t.lower() for t in _TOKEN.findall(sentence, m.end() if m else 0)]
 
 
+@lru_cache(1 << 17)
 def is_anchor(token: str) -> bool:
     return token[0] == "`" or token.isdigit()
 
@@ -144,38 +146,47 @@ def lexicon(pairs: DataFrame, significant: float = SIGNIFICANT, near_best: float
 
 
 def hungarian(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns of greatest total gain; rows and columns may stay alone (gain 0)."""
+    """Pairs of rows and columns of greatest total gain; rows and columns may stay alone (gain 0).
+
+    Each row in turn takes its cheapest way to a free column; a column of no gain and no cost for every row stands for staying
+    alone, so that no padding to a square is needed.
+    """
     n, m = gain.shape
-    size = n + m
-    cost = np.zeros((size, size))
-    cost[:n, :m] = -gain
-    u, v = np.zeros(size + 1), np.zeros(size + 1)
+    if n > m:
+        return sorted((r, c) for c, r in hungarian(gain.T))
+    if n == 1:
+        c = int(np.argmax(gain[0]))
+        return [(0, c)] if gain[0, c] > 0 else []
+    cost = np.zeros((n, m + n))
+    cost[:, :m] = -gain
+    size = m + n
+    u, v = np.zeros(n + 1), np.zeros(size + 1)
     match, way = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-    for i in range(1, size + 1):
+    for i in range(1, n + 1):
         match[0], j0 = i, 0
-        low = np.full(size + 1, np.inf)
-        used = np.zeros(size + 1, bool)
+        low = np.full(size, np.inf)
+        done = np.zeros(size, bool)
+        used = [0]
         while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = np.flatnonzero(~used[1:]) + 1
-            cur = cost[i0 - 1, free - 1] - u[i0] - v[free]
-            better = cur < low[free]
-            low[free[better]] = cur[better]
-            way[free[better]] = j0
-            j1 = free[int(np.argmin(low[free]))]
+            cur = cost[match[j0] - 1] - u[match[j0]] - v[1:]
+            better = ~done & (cur < low)
+            low[better] = cur[better]
+            way[1:][better] = j0
+            j1 = int(np.argmin(np.where(done, np.inf, low)))
             delta = low[j1]
             u[match[used]] += delta
             v[used] -= delta
-            low[~used] -= delta
-            j0 = j1
+            low[~done] -= delta
+            done[j1] = True
+            j0 = j1 + 1
             if match[j0] == 0:
                 break
+            used.append(j0)
         while j0:
             j1 = way[j0]
             match[j0] = match[j1]
             j0 = j1
-    return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if 0 < match[j] <= n and gain[match[j] - 1, j - 1] > 0]
+    return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] and gain[match[j] - 1, j - 1] > 0]
 
 
 class _Scorer:
@@ -187,11 +198,12 @@ class _Scorer:
         known_t: dict[str, float] = {}
         there = {w for s in ys for w in s}
         for e in entries:
-            if e["t"] not in there:
+            a, b, k = e if isinstance(e, tuple) else (e["s"], e["t"], e["w"])
+            if b not in there:
                 continue
-            self.trans[e["s"]][e["t"]] = e["w"]
-            known_s[e["s"]] = max(known_s.get(e["s"], 0.0), e["w"])
-            known_t[e["t"]] = max(known_t.get(e["t"], 0.0), e["w"])
+            self.trans[a][b] = k
+            known_s[a] = max(known_s.get(a, 0.0), k)
+            known_t[b] = max(known_t.get(b, 0.0), k)
         self.x = [self.weights(s, known_s) for s in xs]
         self.y = [self.weights(s, known_t) for s in ys]
 
@@ -374,8 +386,12 @@ def _align(null_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int, int]] = []
-            for i, x, y, e in zip(*(b.column(c).to_pylist() for c in ("pair_id", "src", "tgt", "entries"))):
-                out += [(i, r, c) for r, c in align_sentences(x, y, e or [], null_score)]
+            lists = b.column("entries")
+            ends, flat = lists.offsets.to_pylist(), lists.values
+            words, others, weights = (flat.field(k).to_pylist() for k in ("s", "t", "w"))
+            for k, (i, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("pair_id", "src", "tgt")))):
+                mine = slice(ends[k], ends[k + 1])
+                out += [(i, r, c) for r, c in align_sentences(x, y, list(zip(words[mine], others[mine], weights[mine])), null_score)]
             cols = list(zip(*out)) or [()] * 3
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["pair_id", "src_no", "tgt_no"])
 
