@@ -184,7 +184,13 @@ def _fill(need: np.ndarray) -> tuple[np.ndarray, int]:
     return out, used
 
 
-def packed(items: DataFrame, segments_per_1k: float = 16.0, loss_share: float = 0.75, block_items: int = BLOCK_ITEMS, loss_kinds: tuple[str, ...] = LOSS_KINDS) -> DataFrame:
+#: Pieces per 1024 tokens of a container.
+SEGMENTS = 16.0
+#: So many consecutive pieces of one document stay in a block; a document of any length is spread over blocks.
+PIECES = 256
+
+
+def packed(items: DataFrame, segments_per_1k: float = SEGMENTS, loss_share: float = 0.75, block_items: int = BLOCK_ITEMS, loss_kinds: tuple[str, ...] = LOSS_KINDS) -> DataFrame:
     """`items` with container_no, dense per capacity.
 
     Limits per container: `capacity` tokens, `segments_per_1k` pieces per 1024 tokens of capacity (at least one), and
@@ -193,7 +199,7 @@ def packed(items: DataFrame, segments_per_1k: float = 16.0, loss_share: float =
     loss = F.when(F.col("kind").isin(*loss_kinds), F.col("n_tokens")).otherwise(0)
     items = items.filter("n_tokens > 0").withColumn("n_loss", loss)
     counts = items.groupBy("capacity").agg(F.count(F.lit(1)).alias("n"))
-    dealt = items.join(F.broadcast(counts), "capacity").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / block_items)))).drop("n")
+    dealt = items.join(F.broadcast(counts), "capacity").withColumn("block", F.pmod(F.xxhash64("doc_id", F.floor(F.col("piece") / PIECES)), F.greatest(F.lit(1), F.ceil(F.col("n") / block_items)))).drop("n")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
@@ -222,11 +228,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per capacity: containers, tokens placed, and the share of unused space."""
+    """Per capacity: containers, the fewest that any packing under the limits needs, tokens placed, and the share of unused space."""
     p = p8_containers(spark, sf_dir)
-    return p.groupBy("capacity").agg(
-        F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("n_tokens")
-    ).withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("capacity") * F.col("n_containers")), 6))
+    n = p.groupBy("capacity").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"))
+    cap = F.col("capacity")
+    least = F.greatest(F.ceil(F.col("n_tokens") / cap), F.ceil(F.col("n_pieces") / F.greatest(F.lit(1.0), F.floor(SEGMENTS * cap / 1024))))
+    return n.select("capacity", "n_containers", least.alias("n_least"), "n_tokens", F.round(1 - F.col("n_tokens") / (cap * F.col("n_containers")), 6).alias("unused_share"))
 
 
 QUERIES = {"p8_containers": p8_containers, "p8_unused": p8_unused}

@@ -57,3 +57,11 @@ def test_odd_tables(spark):
     got = packed(token_sizes(df, [16])).collect()
     assert {r.doc_id for r in got} == {3, 4, 5} and all(r.n_tokens <= 16 for r in got)
     assert packed(token_sizes(df.limit(0), [16])).count() == 0
+
+
+def test_a_giant_document_is_spread(spark):
+    rows = [(512, 1, "page", k, 0, 1, 500) for k in range(20_000)] + [(512, 2, "page", 0, 0, 1, 12)]
+    items = spark.createDataFrame(rows, "capacity int, doc_id long, kind string, piece int, start_char int, end_char int, n_tokens int")
+    got = packed(items, block_items=1000, loss_kinds=())
+    assert got.count() == 20_001 and got.select("container_no").distinct().count() <= 20_001
+    assert got.groupBy("container_no").sum("n_tokens").agg({"sum(n_tokens)": "max"}).first()[0] <= 512
