@@ -297,15 +297,18 @@ def _aligner(block):
             for p, docs, first, end in chain(*sources):
                 item_id, item = b.parts[p]
                 order = np.argsort(end - first, kind="stable")  # windows of like width together
-                own = np.zeros(len(b.vocabulary) + 1, bool)
-                own[item] = True
-                step = max(1, (1 << 21) // max(1, int((end - first).max())))
+                words, times = np.unique(item, return_counts=True)
+                own, times = np.full(len(b.vocabulary) + 1, len(words)), np.append(times, 0)
+                own[words] = np.arange(len(words))
+                step = max(1, (1 << 16) // max(1, int((end - first).max())))
                 for k in range(0, len(order), step):
                     mine = order[k : k + step]
                     where = first[mine, None] + np.arange(int((end[mine] - first[mine]).max()))
                     windows = np.where(where < end[mine][:, None], flat[np.minimum(where, len(flat) - 1)], 0)
-                    if b.least:  # no alignment matches more words than the window has of the item
-                        enough = own[windows].sum(axis=1) >= min(b.least, int(np.ceil(0.8 * len(item))))
+                    if b.least:  # no alignment matches more words than the item has of those in the window
+                        there = np.zeros((len(mine), len(times)), bool)
+                        there[np.arange(len(mine))[:, None], own[windows]] = True
+                        enough = there @ times >= min(b.least, int(np.ceil(0.8 * len(item))))
                         mine, windows = mine[enough], windows[enough]
                     for d, *hit in zip(docs[mine].tolist(), *(x.tolist() for x in align(item, windows))):
                         old = found[d, item_id].get(p, (0, 0, 0))
