@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.session import cut_lineage
+from driftloom.session import cut_step
 
 
 def quotient_edges(edges: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -31,13 +31,13 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(owner, node, depth): nodes reachable from `start` (owner, node) with their least distance; start has depth 0."""
-    frontier = cut_lineage(start.select("owner", "node").distinct().withColumn("depth", F.lit(0)))
+    frontier = cut_step(start.select("owner", "node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
-    step = cut_lineage(edges.select("owner", F.col("src").alias("node"), "dst"))
+    step = cut_step(edges.select("owner", F.col("src").alias("node"), "dst"))
     while max_depth is None or depth < max_depth:
         depth += 1
         nxt = frontier.join(step, ["owner", "node"]).select("owner", F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(nxt.join(seen.select("owner", "node"), ["owner", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut_step(nxt.join(seen.select("owner", "node"), ["owner", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -50,14 +50,14 @@ def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node takes the least label of its predecessors, then the label of that label: who reaches it reaches the node too.
     The number of steps is at most that of the longest shortest path.
     """
-    state = cut_lineage(nodes.select("owner", "node", F.col("node").alias("label")).distinct())
-    step = cut_lineage(edges.select("owner", F.col("src").alias("node"), "dst"))
+    state = cut_step(nodes.select("owner", "node", F.col("node").alias("label")).distinct())
+    step = cut_step(edges.select("owner", F.col("src").alias("node"), "dst"))
     while True:
         sent = state.join(step, ["owner", "node"]).groupBy("owner", F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
         near = state.join(sent, ["owner", "node"], "left").select("owner", "node", "label", F.least("label", "offer").alias("near"))
         jump = near.select("owner", F.col("node").alias("near"), F.col("near").alias("far"))
         new = near.join(jump, ["owner", "near"], "left").select("owner", "node", F.least("near", "far").alias("new"), "label")
-        new = cut_lineage(new.select("owner", "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        new = cut_step(new.select("owner", "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
         state = new.select("owner", "node", "label")
         if new.filter("moved").isEmpty():
             return state
@@ -69,8 +69,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels are joined as trees: a node that sees a lesser label offers it to its own label too, so that all who bear that label
     move at once, and every label jumps to its label.
     """
-    state = cut_lineage(nodes.select("owner", "node", F.col("node").alias("label")).distinct())
-    step = cut_lineage(edges.select("owner", F.col("src").alias("node"), "dst").unionByName(edges.select("owner", F.col("dst").alias("node"), F.col("src").alias("dst"))).distinct())
+    state = cut_step(nodes.select("owner", "node", F.col("node").alias("label")).distinct())
+    step = cut_step(edges.select("owner", F.col("src").alias("node"), "dst").unionByName(edges.select("owner", F.col("dst").alias("node"), F.col("src").alias("dst"))).distinct())
     while True:
         sent = state.join(step, ["owner", "node"]).groupBy("owner", F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
         near = state.join(sent, ["owner", "node"], "left")
@@ -78,7 +78,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = near.join(hook, ["owner", "node"], "left").select("owner", "node", "label", F.least("label", "offer", "hook").alias("near"))
         jump = near.select("owner", F.col("node").alias("near"), F.col("near").alias("far"))
         new = near.join(jump, ["owner", "near"], "left").select("owner", "node", F.least("near", "far").alias("new"), "label")
-        new = cut_lineage(new.select("owner", "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        new = cut_step(new.select("owner", "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
         state = new.select("owner", "node", "label")
         if new.filter("moved").isEmpty():
             return state
@@ -91,49 +91,55 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The nodes of a component agree in both labels, so edges between others are dropped and the rest is labelled again.
     Nodes without an edge in or out of what is left are components of their own.
     """
-    left = cut_lineage(nodes.select("owner", "node").distinct())
-    arcs = cut_lineage(edges.select("owner", "src", "dst").filter("src <> dst").distinct())
+    left = cut_step(nodes.select("owner", "node").distinct())
+    arcs = cut_step(edges.select("owner", "src", "dst").filter("src <> dst").distinct())
     # what leads to a node without dependencies along a chain is on no cycle, however long the chain is
-    ends = arcs.select("owner", F.col("src").alias("base")).distinct()
-    loose = _chains(arcs, max(1, arcs.count()).bit_length() + 1).join(ends, ["owner", "base"], "left_anti").select("owner", "node")
+    inner = cut_step(arcs.select("owner", F.col("src").alias("base")).distinct())
+    loose = _chains(arcs, inner).join(inner, ["owner", "base"], "left_anti").select("owner", "node")
     alone = left.join(loose, ["owner", "node"], "left_semi").select("owner", "node", F.col("node").alias("scc"))
-    done = cut_lineage(alone)
-    held = cut_lineage(left.join(loose, ["owner", "node"], "left_anti"))
-    arcs = cut_lineage(arcs.join(held.select("owner", F.col("node").alias("src")), ["owner", "src"], "left_semi"))
+    done = cut_step(alone)
+    held = cut_step(left.join(loose, ["owner", "node"], "left_anti"))
+    arcs = cut_step(arcs.join(held.select("owner", F.col("node").alias("src")), ["owner", "src"], "left_semi"))
     left = held
     while not left.isEmpty():
-        both = cut_lineage(arcs.select("owner", F.col("src").alias("node")).intersect(arcs.select("owner", F.col("dst").alias("node"))))
+        both = cut_step(arcs.select("owner", F.col("src").alias("node")).intersect(arcs.select("owner", F.col("dst").alias("node"))))
         part = left.join(both, ["owner", "node"], "left_anti").select("owner", "node", F.col("node").alias("scc"))
         if not both.isEmpty():
-            inner = lambda c: both.select("owner", F.col("node").alias(c))  # noqa: B023, E731
-            arcs = cut_lineage(arcs.join(inner("src"), ["owner", "src"], "left_semi").join(inner("dst"), ["owner", "dst"], "left_semi"))
+            keep = lambda c: both.select("owner", F.col("node").alias(c))  # noqa: B023, E731
+            arcs = cut_step(arcs.join(keep("src"), ["owner", "src"], "left_semi").join(keep("dst"), ["owner", "dst"], "left_semi"))
             ahead, behind = min_label(both, arcs), min_label(both, reverse_edges(arcs))
-            labels = cut_lineage(ahead.withColumnRenamed("label", "a").join(behind.withColumnRenamed("label", "b"), ["owner", "node"]))
+            labels = cut_step(ahead.withColumnRenamed("label", "a").join(behind.withColumnRenamed("label", "b"), ["owner", "node"]))
             part = part.unionByName(labels.filter("a = b").select("owner", "node", F.col("a").alias("scc")))
             rest = labels.filter("a <> b")
             end = lambda c: rest.select("owner", F.col("node").alias(c), F.col("a").alias(f"{c}_a"), F.col("b").alias(f"{c}_b"))  # noqa: B023, E731
             arcs = arcs.join(end("src"), ["owner", "src"]).join(end("dst"), ["owner", "dst"]).filter("src_a = dst_a AND src_b = dst_b").select("owner", "src", "dst")
-            arcs = cut_lineage(arcs)
-            left = cut_lineage(rest.select("owner", "node"))
+            arcs = cut_step(arcs)
+            left = cut_step(rest.select("owner", "node"))
         else:
             left = left.limit(0)
-        part = cut_lineage(part)
+        part = cut_step(part)
         done = done.unionByName(part)
     return done
 
 
-def _chains(arcs: DataFrame, rounds: int | None = None) -> DataFrame:
+def _chains(arcs: DataFrame, inner: DataFrame | None = None) -> DataFrame:
     """(owner, node, base, far): the node with none or several dependencies that each node of one dependency leads to, and how
-    many steps away it is.  On a cycle there is none; `rounds` ends the doubling there, when far exceeds the number of nodes."""
+    many steps away it is.
+
+    On a cycle there is none: with `inner` (owner, base), the nodes that have dependencies, the doubling ends when a round leads no
+    further node to one without; as long as a chain goes on, every round does.
+    """
     one = arcs.groupBy("owner", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("base")).filter("n = 1")
-    state = cut_lineage(one.select("owner", "node", "base", F.lit(1).alias("far")))
+    state = cut_step(one.select("owner", "node", "base", F.lit(1).alias("far")))
     while True:
         nxt = state.select("owner", F.col("node").alias("base"), F.col("base").alias("base2"), F.col("far").alias("far2"))
         j = state.join(nxt, ["owner", "base"], "left")
-        new = cut_lineage(j.select("owner", "node", F.coalesce("base2", "base").alias("base"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("base2").isNotNull().alias("moved")))
-        state = new.drop("moved")
-        rounds = None if rounds is None else rounds - 1
-        if rounds == 0 or new.filter("moved").isEmpty():
+        new = j.select("owner", "node", F.coalesce("base2", "base").alias("base"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("base2").isNotNull().alias("moved"))
+        if inner is not None:
+            new = new.join(inner.withColumn("on", F.lit(True)), ["owner", "base"], "left").withColumn("moved", F.col("moved") & F.col("on").isNull()).drop("on")
+        new = cut_step(new)
+        state = new.select("owner", "node", "base", "far")
+        if new.filter("moved").isEmpty():
             return state
 
 
@@ -144,22 +150,22 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Components of one dependency are one wave after it; such chains are followed first, so that a step is needed only for
     each component of several dependencies on the longest path.
     """
-    scc = cut_lineage(strong_components(nodes, edges))
-    arcs = cut_lineage(quotient_edges(edges, scc.select("owner", "node", F.col("scc").alias("grp"))))
+    scc = cut_step(strong_components(nodes, edges))
+    arcs = cut_step(quotient_edges(edges, scc.select("owner", "node", F.col("scc").alias("grp"))))
     chain = _chains(arcs)
     ends = chain.select("owner", F.col("node").alias("dst"), "base", "far")
     several = arcs.join(chain.select("owner", F.col("node").alias("src")), ["owner", "src"], "left_anti")
     step = several.join(ends, ["owner", "dst"], "left").select("owner", "src", F.coalesce("base", "dst").alias("dst"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))
-    step = cut_lineage(step.groupBy("owner", "src", "dst").agg(F.max("far").alias("far")))
+    step = cut_step(step.groupBy("owner", "src", "dst").agg(F.max("far").alias("far")))
     every = scc.select("owner", F.col("scc").alias("node")).distinct()
-    level = cut_lineage(every.join(chain, ["owner", "node"], "left_anti").withColumn("wave", F.lit(0)).withColumn("moved", F.lit(True)))
+    level = cut_step(every.join(chain, ["owner", "node"], "left_anti").withColumn("wave", F.lit(0)).withColumn("moved", F.lit(True)))
     while True:
         pushed = (
             step.join(level.filter("moved").select("owner", F.col("node").alias("dst"), "wave"), ["owner", "dst"])
             .groupBy("owner", F.col("src").alias("node")).agg(F.max(F.col("wave") + F.col("far")).alias("offer"))
         )
         more = F.coalesce(F.col("offer") > F.col("wave"), F.lit(False))
-        level = cut_lineage(level.join(pushed, ["owner", "node"], "left").select("owner", "node", F.when(more, F.col("offer")).otherwise(F.col("wave")).alias("wave"), more.alias("moved")))
+        level = cut_step(level.join(pushed, ["owner", "node"], "left").select("owner", "node", F.when(more, F.col("offer")).otherwise(F.col("wave")).alias("wave"), more.alias("moved")))
         if level.filter("moved").isEmpty():
             break
     based = chain.join(level.select("owner", F.col("node").alias("base"), "wave"), ["owner", "base"]).select("owner", "node", (F.col("wave") + F.col("far")).alias("wave"))

@@ -9,7 +9,7 @@ from driftloom.functions.ids import canonical_id, path_of_id
 from driftloom.operators import graphs as G
 from driftloom.plans.current import CUR, DOMAINS, EDGES, SECTIONS, TRIM, _CANON, current_domains, current_entities, dependency_edges, sections
 from driftloom.plans.snapshots import canonical_hash
-from driftloom.session import cut_lineage
+from driftloom.session import cut_step
 from driftloom.sources.tables import table
 
 
@@ -135,7 +135,7 @@ def q_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = ent.select("repo", "id", canonical_hash(F.col("contentHash")).alias("now"))
     changed = written.join(now, ["repo", "id"]).filter("then <> now").select("repo", "id").distinct()
     direct = owns.join(changed, ["repo", "id"]).select("repo", "sectionId", F.lit(0).alias("o")).unionByName(deps.join(changed, ["repo", "id"]).select("repo", "sectionId", F.lit(1).alias("o")))
-    direct = cut_lineage(direct.groupBy("repo", "sectionId").agg(F.min("o").alias("o")))
+    direct = cut_step(direct.groupBy("repo", "sectionId").agg(F.min("o").alias("o")))
     arcs = deps.select(F.col("repo").alias("owner"), F.regexp_replace("id", "^section:", "").alias("src"), F.col("sectionId").alias("dst"))
     reached = G.reach(arcs, direct.select(F.col("repo").alias("owner"), F.col("sectionId").alias("node")))
     later = reached.filter("depth > 0").select(F.col("owner").alias("repo"), F.col("node").alias("sectionId"), F.lit(2).alias("o"))

@@ -19,7 +19,7 @@ from driftloom.operators import states as S
 from driftloom.operators.drift import block_fingerprint, facet_hashes, merge_passes
 from driftloom.plans.current import CUR, EDGES, TRIM, _CANON, current_entities, dependency_edges, first_of
 from driftloom.plans.drift import _PAST, _fp, _now, _past
-from driftloom.session import cut_lineage
+from driftloom.session import cut_step
 from driftloom.sources.tables import table
 
 LATE = "INTERVAL 12 HOURS"
@@ -59,8 +59,8 @@ class _State:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.entities = cut_lineage(current_entities(spark, sf_dir, ["path", "type", "name", "directDeps"]))
-        self.old, self.new = cut_lineage(_versions(spark, sf_dir, False)), cut_lineage(_versions(spark, sf_dir, True))
+        self.entities = cut_step(current_entities(spark, sf_dir, ["path", "type", "name", "directDeps"]))
+        self.old, self.new = cut_step(_versions(spark, sf_dir, False)), cut_step(_versions(spark, sf_dir, True))
         self.sections, self.plain = _sections(self.new, self.entities), _blocks(self.new)
 
     @cached_property
@@ -73,7 +73,7 @@ class _State:
         legacy = now.select(*keys, F.sha2(F.concat_ws("|", "id", F.coalesce("content", F.lit(""))), 256).alias("legacy"))
         one = lambda name: F.when(F.col("signature").isNotNull(), block_fingerprint(F.col("blockId"))).alias(name)
         b = self.plain.select(*keys, "blockId").join(stored, keys, "left").select(*keys, "blockId", one("stored"))
-        return cut_lineage(b.join(facet_hashes(now, keys), keys, "left").select(*keys, "blockId", "stored", one("current")).join(legacy, keys, "left"))
+        return cut_step(b.join(facet_hashes(now, keys), keys, "left").select(*keys, "blockId", "stored", one("current")).join(legacy, keys, "left"))
 
     def blocks(self) -> DataFrame:
         return self.plain.join(self._fingerprints.select("repo", "sectionId", "blockId", F.col("stored").alias("fingerprint")), ["repo", "sectionId", "blockId"], "left")
@@ -85,13 +85,13 @@ class _State:
     def _edges(self) -> DataFrame:
         """(repo, path, sourcePath): which file depends on which."""
         files = self.entities.select(F.col("repo").alias("owner"), F.col("id").alias("node"), F.col("path").alias("grp")).filter("grp IS NOT NULL")
-        return cut_lineage(G.quotient_edges(dependency_edges(self.entities), files).select(F.col("owner").alias("repo"), F.col("src").alias("path"), F.col("dst").alias("sourcePath")))
+        return cut_step(G.quotient_edges(dependency_edges(self.entities), files).select(F.col("owner").alias("repo"), F.col("src").alias("path"), F.col("dst").alias("sourcePath")))
 
     @lru_cache(4)  # noqa: B019
     def docs(self, newest: bool) -> DataFrame:
         """Dependency docs of every file, from the newest or the oldest text of the sections."""
         v = self.new if newest else self.old
-        return cut_lineage(S.dependency_docs(self._edges, _sections(v, self.entities), _blocks(v)))
+        return cut_step(S.dependency_docs(self._edges, _sections(v, self.entities), _blocks(v)))
 
     @lru_cache(4)  # noqa: B019
     def names(self) -> DataFrame:

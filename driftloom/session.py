@@ -64,3 +64,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_step(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder, for the many small states of an iteration, where writing a table costs more.
+
+    The plan that comes back knows nothing of the one it was made from, as sizes estimated step upon step would overflow.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(spark))
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)

@@ -43,8 +43,8 @@ def test_components_and_waves_equal_brute_force(spark):
 
 def test_long_paths_take_few_steps(spark, monkeypatch):
     n, steps = 600, []
-    real = G.cut_lineage
-    monkeypatch.setattr(G, "cut_lineage", lambda df: steps.append(1) or real(df))
+    real = G.cut_step
+    monkeypatch.setattr(G, "cut_step", lambda df: steps.append(1) or real(df))
     order = list(range(n))
     random.Random(1).shuffle(order)
     for ids in (order,):
