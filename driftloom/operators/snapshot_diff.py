@@ -4,7 +4,7 @@ Every snapshot is summed up per hash bucket of its keys in an invertible Bloom l
 hash) pair is added to three cells, a cell holding a count and the exclusive-or of its pairs.  Subtracting the tables
 of two consecutive snapshots leaves the pairs in which they differ; those are peeled off cell by cell.  A bucket whose
 table was too small to peel is built again with more cells, from the rows of the failed buckets only.  The recovered
-key hashes then fetch their records from both snapshots, and the records, not the hashes, decide what changed.
+key hashes then fetch their records from both snapshots, which are compared value by value, each value by its 64-bit hash.
 
 Why not join the snapshots: the tables are a fixed fraction of the rows, are summed before the shuffle, and only
 records that differ are compared; what does not change between deliveries is never joined with itself.

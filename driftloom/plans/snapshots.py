@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions.blocks import FACETS
 from driftloom.operators.snapshot_diff import snapshot_changes
 from driftloom.sources.tables import table
 
-FACETS = ["signature", "body", "deps", "usage", "placement"]
 
 
 def canonical_hash(c: Column) -> Column:

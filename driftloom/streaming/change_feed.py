@@ -18,9 +18,19 @@ def newest_changes(changes: DataFrame, keys: list[str], order: list[str]) -> Dat
 
 
 def apply_changes(state: DataFrame | None, changes: DataFrame, keys: list[str], order: list[str], deleted: str | None = None) -> DataFrame:
-    """The state after the changes: per key the newest of both, without keys whose newest row is marked deleted."""
+    """The state after the changes: per key the newest of both.
+
+    A key whose newest row is marked in the column `deleted` stays as a tombstone, so that an older change that comes late does not
+    bring it back; `live` leaves tombstones out.
+    """
     both = changes if state is None else state.unionByName(changes, allowMissingColumns=True)
-    return newest_changes(both, keys, order)
+    out = newest_changes(both, keys, order)
+    return out if deleted is None else out.withColumn(deleted, F.coalesce(F.col(deleted), F.lit(False)))
+
+
+def live(state: DataFrame, deleted: str) -> DataFrame:
+    """The state without the keys whose newest row is marked deleted."""
+    return state.filter(~F.coalesce(F.col(deleted), F.lit(False)))
 
 
 def snapshot_path(root: str, batch: int) -> str:
@@ -38,13 +48,13 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(done[-1]) if done else None
 
 
-def maintain(changes: DataFrame, root: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+def maintain(changes: DataFrame, root: str, checkpoint: str, keys: list[str], order: list[str], deleted: str | None = None) -> StreamingQuery:
     """Runs over what the stream has and stops; start it again for what comes later."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         before = _before(spark, root, number)
-        apply_changes(before, df, keys, order).write.mode("overwrite").parquet(snapshot_path(root, number))
+        apply_changes(before, df, keys, order, deleted).write.mode("overwrite").parquet(snapshot_path(root, number))
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

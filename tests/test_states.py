@@ -136,3 +136,13 @@ def test_scope_and_targets(spark):
     ids = spark.createDataFrame([("r", x) for x in ("kept", "emptied", "forced")], "repo string, sectionId string")
     got = S.narrow_targets(t, ids, ["purpose", "responsibility"])
     assert {r.sectionId: r.blocks for r in got.collect()} == {"kept": ["purpose"], "forced": ["purpose", "responsibility"]}
+
+
+def test_deleted_keys_stay_as_tombstones(spark):
+    from driftloom.streaming.change_feed import apply_changes, live
+
+    make = lambda rows: spark.createDataFrame(rows, "k string, at int, gone boolean")
+    state = apply_changes(None, make([("a", 1, None), ("b", 1, False)]), ["k"], ["at"], "gone")
+    state = apply_changes(state, make([("a", 3, True)]), ["k"], ["at"], "gone")
+    late = apply_changes(state, make([("a", 2, False)]), ["k"], ["at"], "gone")
+    assert {(r.k, r.at, r.gone) for r in late.collect()} == {("a", 3, True), ("b", 1, False)} and [r.k for r in live(late, "gone").collect()] == ["b"]
